@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -457,7 +458,7 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _decoded(batches, limit: int = 1 << 21):
     for batch in batches:
         media = batch.column(batch.schema.get_field_index("media"))
-        sizes, at = [len(m) if m.is_valid else 0 for m in media], 0
+        sizes, at = pc.fill_null(pc.binary_length(media), 0).to_pylist(), 0
         while at < len(sizes):
             end, total = at, 0
             while end < len(sizes) and (end == at or total + sizes[end] <= limit):
