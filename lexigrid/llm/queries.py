@@ -21,6 +21,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -33,7 +39,7 @@ def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secrets, op8_packing, op10_media_flac)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secrets, op3_near_duplicates, op8_packing, op10_media_flac)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
