@@ -163,3 +163,26 @@ def ragged(counts: np.ndarray) -> np.ndarray:
 def code_points(data: bytes, at: int) -> int:
     """Code points before byte ``at``."""
     return at if data.isascii() else len(data[:at].decode("utf-8", "replace"))
+
+
+#: Bits of the filter below: a broadcast of at most 1 MB, whatever the number of rows.
+FILTER_BITS = 23
+
+
+def probable_members(df: DataFrame, column: str, wanted: DataFrame, absent: bool = False) -> DataFrame:
+    """Rows of df whose column may be in ``wanted`` (one column), without a shuffle of df; or those that surely aren't.
+
+    A bitmap of ``2 ** FILTER_BITS`` hashed values is gathered and broadcast; its size is fixed, and
+    false positives only mean that a later exact join drops more rows.  Nulls count as a value.
+    """
+    from pyspark.sql import functions as F
+
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    wanted = wanted.select(spot(F.col(wanted.columns[0])).alias("spot"))
+    maps = wanted.groupBy((F.col("spot") / 32768).cast("long").alias("__block")).agg(F.bitmap_construct_agg(F.pmod("spot", F.lit(32768))).alias("__map"))
+    df = df.withColumn("__spot", spot(F.col(column)))
+    joined = df.join(F.broadcast(maps), (F.col("__spot") / 32768).cast("long") == F.col("__block"), "left")
+    within = F.pmod("__spot", F.lit(32768))
+    byte = F.conv(F.hex(F.substring("__map", (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(within, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return joined.where(~hit if absent else hit).drop("__spot", "__block", "__map")
