@@ -30,22 +30,30 @@ ROUNDS = 4
 PAIRS_PER_ROUND = 2500
 #: A pair must occur this often in its shard to become a rule.
 LEAST_COUNT = 24
-BUCKETS = 20
+#: Bits of the hash by which a round counts pairs.
+BUCKETS = 19
 _HEAD = struct.Struct("<4sIIIQQ")
 SHARDS = "part int, seq int, ids_before long, n_ids long, n_docs int, payload binary"
 
 
-def frequent_pairs(key: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent values of key (sorted by value), found through hashed counts and then exactly."""
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-    counts = np.bincount(bucket, minlength=1 << BUCKETS)
-    heavy = np.partition(counts, -most)[-most] if len(counts) > most else 0
-    found, n = np.unique(key[counts[bucket] >= max(least, heavy)], return_counts=True)
-    found, n = found[n >= least], n[n >= least]
-    if len(found) > most:
-        keep = np.lexsort((found, -n))[:most]
-        found = np.sort(found[keep])
-    return found
+def frequent_pairs(key: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent values of key, and per position the index of its value among them or -1.
+
+    Values are counted by a hash; of each hash one value is followed, whose exact count
+    decides, so a value that shares its hash with another waits for a later round.
+    """
+    width, odd = (32, 0x9E3779B1) if key.dtype == np.uint32 else (64, 0x9E3779B97F4A7C15)
+    bucket = ((key * key.dtype.type(odd)) >> key.dtype.type(width - BUCKETS)).view(f"i{width // 8}")
+    followed = np.zeros(1 << BUCKETS, key.dtype)
+    followed[bucket] = key
+    same = followed[bucket] == key
+    counts = np.bincount(bucket[same], minlength=1 << BUCKETS)
+    heavy = np.flatnonzero(counts >= least)
+    if len(heavy) > most:
+        heavy = np.sort(heavy[np.lexsort((heavy, -counts[heavy]))[:most]])
+    index = np.full(1 << BUCKETS, -1, np.int32)
+    index[heavy] = np.arange(len(heavy), dtype=np.int32)
+    return followed[heavy], np.where(same, index[bucket], -1)
 
 
 def repair(ids: np.ndarray, doc_starts: np.ndarray, first_symbol: int, rounds: int = ROUNDS, most: int = PAIRS_PER_ROUND, least: int = LEAST_COUNT):
@@ -53,35 +61,39 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, first_symbol: int, rounds: i
     seq = ids.astype(np.uint32)
     starts = np.asarray(doc_starts, np.int64)
     rules = np.zeros((0, 2), np.uint32)
+    # symbols of 16 bits make pairs of 32
+    half, wide = (np.uint32(16), np.uint32) if first_symbol <= 1 << 16 else (np.uint64(32), np.uint64)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        key = (seq[:-1].astype(wide) << half) | seq[1:]
         inner = starts[1:-1]
-        across = inner[(inner > 0) & (inner < len(seq))] - 1
-        free = np.ones(len(key), bool)
-        free[across] = False
+        across = np.unique(inner[(inner > 0) & (inner < len(seq))]) - 1
         room = min(most, (1 << 16) - first_symbol - len(rules)) if first_symbol <= 1 << 16 else most
-        pairs = frequent_pairs(key[free], room, least) if room > 0 else key[:0]
+        if room <= 0:
+            break
+        free = np.delete(key, across)
+        pairs, which = frequent_pairs(free, room, least)
         if not len(pairs):
             break
-        where = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        hit = free & (pairs[where] == key)
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
+        at += np.searchsorted(across - np.arange(len(across)), at, side="right")
         # in a run of neighbouring hits every other one is replaced
         lead = np.ones(len(at), bool)
         lead[1:] = at[1:] != at[:-1] + 1
         run = np.flatnonzero(lead)
         offset = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at = at[offset % 2 == 0]
+        lead = offset % 2 == 0
+        at, which = at[lead], which[lead]
         seq = seq.copy()
-        seq[at] = first_symbol + len(rules) + where[at]
+        seq[at] = first_symbol + len(rules) + which
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         gone = np.concatenate([[0], np.cumsum(~keep)])
         starts = starts - gone[starts]
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        rules = np.concatenate([rules, np.stack([pairs >> half, pairs & wide((1 << int(half)) - 1)], 1).astype(np.uint32)])
     return seq, starts, rules
 
 
