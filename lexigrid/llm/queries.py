@@ -27,6 +27,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -45,7 +51,7 @@ def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secrets, op3_near_duplicates, op6_repeats, op8_packing, op10_media_flac)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secrets, op3_near_duplicates, op4_decontaminate, op6_repeats, op8_packing, op10_media_flac)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
