@@ -8,8 +8,8 @@ on a band share a bucket.
 
 Documents with equal sets form a class first, so exact copies meet only once.  In a bucket
 the classes are compared with *hubs*, first its smallest member, then, as long as the bucket
-holds classes of different components, 16, 256, ... more of them; members of one component
-are not compared again.  A compared hub leaves its bucket, so the loop ends when every pair
+holds classes of different components, with 4, 32, 256, ... members of the largest component
+in it; members of one component are not compared again.  A compared hub leaves its bucket, so the loop ends when every pair
 of a bucket has been linked, connected through others, or compared: no cap, no dropped
 pair.  Each candidate is confirmed on the full sets.  With four rows and 32 bands a pair of
 similarity 0.75 shares no bucket with a probability of 5e-6.
@@ -147,22 +147,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = _confirmed(first, sets, percent).unionByName(copies)
     labels = connected_components(edges)
     rest = members.where("rep <> hub").select("bucket", "rep", "n")
-    hubs = 16
+    signs = materialize(classes.join(rest.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.flatten(F.collect_list("bands")).alias("bands")), "near-signs")
+    hubs = 4
     while True:
         marked = rest.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         marked = materialize(marked.join(mixed, "bucket", "left_semi"), "near-open")
         if marked.isEmpty():
             break
-        ranked = marked.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("rep")))
-        ranked = materialize(ranked, "near-ranked")
-        lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
-        pairs = ranked.join(lead, "bucket").where("component <> cv and rank > rv").select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
+        # the largest component's members first: most of the others are linked with one of them
+        ranked = marked.withColumn("weight", F.count("*").over(W.partitionBy("bucket", "component")))
+        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("weight"), "component", "rep")))
+        ranked = materialize(ranked.join(signs, "rep"), "near-ranked")
+        lead = ranked.where(F.col("rank") <= hubs).select(F.col("bucket").alias("at"), F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"), F.col("bands").alias("bv"))
+        # a pair that shares several buckets is compared in the least of them only
+        here = F.array_min(F.array_intersect("bands", "bv")) == F.col("bucket")
+        pairs = ranked.join(lead, (F.col("bucket") == F.col("at")) & (F.col("component") != F.col("cv")) & (F.col("rank") > F.col("rv")) & here)
+        pairs = pairs.select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
         found = materialize(_confirmed(pairs, sets, percent), "near-links")
         if not found.isEmpty():
             labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         rest = ranked.where(F.col("rank") > hubs).select("bucket", "rep", "n")
-        hubs *= 16
+        hubs *= 8
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     joined = sketched.drop("bands").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), component)

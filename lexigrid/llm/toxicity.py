@@ -28,9 +28,11 @@ WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 15, 1 << 13, 8, 8
 #: Labelled documents of each class that are read at most, and characters of each.
 PER_CLASS = 1200
 MAX_CHARS = 8000
-EPOCHS = 6
+#: Steps on any windows, then steps on texts' worst windows, which are chosen anew after every so many.
+STEPS, WORST_STEPS, CHOOSE = 200, 250, 50
 BATCH = 256
 RATE = 0.01
+DECAY = 0.002
 THRESHOLD = 0.7
 FOLDS, FOLD = 3, 1
 
@@ -67,7 +69,7 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         e, h = 2 * EMBED, HIDDEN
-        self.p = {"word": draw(WORDS, EMBED, scale=0.3), "gram": draw(TRIGRAMS, EMBED, scale=0.3), "att_w": draw(2 * h, h, scale=0.3), "att_v": draw(h, scale=0.3), "out": draw(2 * h, scale=0.3), "bias": np.zeros(1, np.float32)}
+        self.p = {"word": draw(WORDS, EMBED, scale=0.05), "gram": draw(TRIGRAMS, EMBED, scale=0.1), "att_w": draw(2 * h, h, scale=0.3), "att_v": draw(h, scale=0.3), "out": draw(2 * h, scale=0.3), "bias": np.zeros(1, np.float32)}
         for side in "fb":
             self.p |= {f"x{side}": draw(e, 3 * h, scale=0.3), f"u{side}": draw(h, 3 * h, scale=0.3), f"c{side}": np.zeros(3 * h, np.float32)}
         self.slope, self.offset = 0.0, 0.0
@@ -192,7 +194,7 @@ class _Adam:
             params[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> Network:
+def fit(rows: list[tuple[str, int]], seed: int = 7) -> Network:
     """Train on three quarters of the rows and calibrate on the others."""
     net = Network(seed)
     raw = [(t.encode(), y) for t, y in rows]
@@ -202,41 +204,38 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> Net
         return np.frombuffer(b"".join(t for t, _ in some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t, _ in some])]).astype(np.int64), np.array([y for _, y in some], np.int64)
 
     data, offsets, y = chunk(part[False])
-    if len(set(y.tolist())) == 2:
-        which, buckets, grams, sizes, bounds = inputs(data, offsets)
-        text, start, length = window_starts(bounds)
+    which, buckets, grams, sizes, bounds = inputs(data, offsets)
+    text, start, length = window_starts(bounds)
+    pools = [np.flatnonzero(y[text] == k) for k in (0, 1)]
+    if all(len(p) for p in pools):
         rng, adam = np.random.default_rng(seed), _Adam(net.p)
-        share = np.bincount(y[text], minlength=2) / max(1, len(text))
         owner = np.repeat(np.arange(len(buckets)), sizes)
-        for epoch in range(epochs):
-            if epoch < 2:
-                order = rng.permutation(len(text))
-            else:  # the worst window of each text, and as many others of clean texts
-                logit = net.window_logits(which, buckets, grams, sizes, start, length)
-                by = np.lexsort((-logit, text))
-                worst = by[np.append(True, text[by][1:] != text[by][:-1])] if len(by) else by
+        truth = np.repeat([0, 1], BATCH // 2)
+        for step in range(STEPS + WORST_STEPS):
+            late = step - STEPS
+            if late >= 0 and late % CHOOSE == 0:  # the worst window of each text, and as many others of clean texts
+                by = np.lexsort((-net.window_logits(which, buckets, grams, sizes, start, length), text))
+                worst = by[np.append(True, text[by][1:] != text[by][:-1])]
+                bad = y[text[worst]] == 1
                 clean = np.flatnonzero(y[text] == 0)
-                order = rng.permutation(np.concatenate([worst, rng.choice(clean, min(len(clean), len(worst)), replace=False)]))
-                share = np.bincount(y[text[order]], minlength=2) / len(order)
-            for a in range(0, len(order), BATCH):
-                own = order[a : a + BATCH]
-                index, mask = net.frame(which, len(buckets), start[own], length[own])
-                near, local = np.unique(index, return_inverse=True)
-                local = local.reshape(index.shape)
-                real = near[near < len(buckets)]
-                inside = np.flatnonzero(np.isin(owner, real))
-                vectors = net.embed(buckets[real], grams[inside], sizes[real])
-                if len(real) == len(near):
-                    local = np.minimum(local, len(real))
-                logit, cache = net.logits(vectors, local, mask, keep=True)
-                truth = y[text[own]]
-                error = ((sigmoid(logit) - truth) * np.where(truth == 1, 0.5 / max(share[1], 1e-6), 0.5 / max(share[0], 1e-6)) / len(own)).astype(np.float32)
-                grad, d_vectors = net.gradients(vectors, local, mask, cache, error)
-                grad["word"] = np.zeros_like(net.p["word"])
-                np.add.at(grad["word"], buckets[real], d_vectors[:, :EMBED])
-                grad["gram"] = np.zeros_like(net.p["gram"])
-                np.add.at(grad["gram"], grams[inside], np.repeat(d_vectors[:, EMBED:] / sizes[real][:, None], sizes[real], axis=0))
-                adam.step(net.p, grad, RATE * (0.5 if epoch >= epochs - 2 else 1))
+                pools = [np.concatenate([worst[~bad], rng.choice(clean, (~bad).sum())]), worst[bad]]
+            own = np.concatenate([rng.choice(p, BATCH // 2) for p in pools])
+            index, mask = net.frame(which, len(buckets), start[own], length[own])
+            near, local = np.unique(index, return_inverse=True)
+            real = near[near < len(buckets)]
+            inside = np.flatnonzero(np.isin(owner, real))
+            vectors = net.embed(buckets[real], grams[inside], sizes[real])
+            local = local.reshape(index.shape)
+            logit, cache = net.logits(vectors, local, mask, keep=True)
+            error = ((sigmoid(logit) - truth) / BATCH).astype(np.float32)
+            grad, d_vectors = net.gradients(vectors, local, mask, cache, error)
+            grad["word"] = np.zeros_like(net.p["word"])
+            np.add.at(grad["word"], buckets[real], d_vectors[:, :EMBED])
+            grad["gram"] = np.zeros_like(net.p["gram"])
+            np.add.at(grad["gram"], grams[inside], np.repeat(d_vectors[:, EMBED:] / sizes[real][:, None], sizes[real], axis=0))
+            for k in ("word", "gram"):  # what single words alone could learn by heart fades
+                net.p[k] *= 1 - DECAY
+            adam.step(net.p, grad, RATE * (0.3 if late >= WORST_STEPS - 2 * CHOOSE else 1))
     data, offsets, y = chunk(part[True])
     if len(y):
         net.slope, net.offset = calibrate(net.text_logits(data, offsets), y)
