@@ -1,4 +1,183 @@
-"""Registered queries of the dictionary-search engine."""
+"""Registered queries of the dictionary-search engine and the SQL that they must agree with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import costs
+from ..operators import metrics, search, trie
+from ..sources import words as sources
+from . import analytics
+
+#: The misspelt queries that the registered searches answer: (query_id, query, n).
+QUERY = [(0, "alforuhm", 10)]
+BATCH = [(0, "alforuhm", 10), (1, "onhere", 25), (2, "Eterbe", 5), (3, "zz", 3)]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.words_of(_docs(spark, sf_dir))
+
+
+def _search(queries, **options):
+    return lambda spark, sf_dir: search.fuzzy_search(dictionary(spark, sf_dir), queries, **options)
+
+
+def _over_words(operator):
+    return lambda spark, sf_dir: operator(dictionary(spark, sf_dir))
+
+
+def _report(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+        return spark.sql(analytics.report_sql(name))
+
+    return run
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = costs.key_distances()
+    rows = [(chr(97 + a), chr(97 + b), int(far[a, b])) for a in range(26) for b in range(26)]
+    return spark.createDataFrame(rows, "from_ch string, to_ch string, dist int")
+
+
+def _scaled(value: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _keys(spark, sf_dir).withColumn("dist", F.greatest("dist", F.lit(1))).withColumn("v", F.expr(value))
+        mean = rows.agg(F.avg("v").alias("mean"))
+        return rows.crossJoin(F.broadcast(mean)).select("from_ch", "to_ch", F.round(F.col("v") / F.col("mean"), 6).alias("weight"))
+
+    return run
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.cumulative_parts(dictionary(spark, sf_dir)).groupBy("part").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+def _query_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = dictionary(spark, sf_dir).select("word", F.md5("word").alias("h")).orderBy(F.desc("h"), F.desc("word")).limit(50)
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.orderBy(F.desc("h"), F.desc("word")))
+    return known.select("word", F.when(place <= 25, "erased").otherwise("existing").alias("query_type"))
+
+
+def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = dictionary(spark, sf_dir)
+    probes = known.unionByName(known.select(F.concat("word", F.lit("zq")).alias("word"))).distinct()
+    return trie.members(known, probes).groupBy("found").agg(F.count("*").alias("n_words"))
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).select(F.levenshtein("word", F.lit("alforuhm")).alias("distance"), "word").orderBy("distance", "word").limit(10)
+
+
+QUERIES = {
+    "fuzzy_topk": _search(QUERY, plan="brute"),
+    "fuzzy_topk_trie": _search(QUERY),
+    "fuzzy_topk_trie_noprune": _search(QUERY, prune=False),
+    "fuzzy_topk_batch": _search(BATCH),
+    "fuzzy_topk_german": _search(QUERY, model="german"),
+    "fuzzy_topk_german_compat": _search(QUERY, model="german_compat"),
+    "fuzzy_topk_simple_cost": _search(QUERY, model="simple"),
+    "unit_levenshtein_topk": _unit,
+    "word_costs": _over_words(search.word_costs),
+    "dictionary_distinct": dictionary,
+    "dictionary_partitions": _parts,
+    "query_sets": _query_sets,
+    "random_queries": lambda spark, sf_dir: sources.random_queries(spark, 25),
+    "trie_nodes": _over_words(trie.numbered),
+    "trie_node_count": _over_words(lambda w: trie.nodes(w).agg(F.count("*").alias("n_nodes"))),
+    "trie_depth_histogram": _over_words(lambda w: trie.nodes(w).groupBy("depth").agg(F.count("*").alias("n_nodes"))),
+    "trie_child_ranges": _over_words(trie.child_ranges),
+    "trie_descendants": _over_words(trie.descendants),
+    "trie_words": _over_words(trie.words_in),
+    "trie_membership": _membership,
+    "keyboard_distances": _keys,
+    "keyboard_histogram": lambda spark, sf_dir: _keys(spark, sf_dir).groupBy("dist").agg(F.count("*").alias("n_pairs")),
+    "keyboard_average": lambda spark, sf_dir: _keys(spark, sf_dir).agg(F.round(F.avg("dist"), 6).alias("mean_dist"), F.max("dist").alias("most")),
+    "keyboard_linear": _scaled("2 - 2 * dist / 9"),
+    "keyboard_neighbors": _scaled("CASE WHEN dist = 1 THEN 2.0D ELSE 1.0D END"),
+    "bench_lowess": lambda spark, sf_dir: metrics.lowess(_report("bench_two_metrics")(spark, sf_dir).where("total is not null"), "impl", "query_size", "total"),
+    **{name: _report(name) for name in analytics.REPORTS},
+}
+
+_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)"
+_NODES = f"{_WORDS}, s AS (SELECT word, unnest(range(0, length(word) + 1)) AS depth FROM w), t AS (SELECT left(word, depth) AS prefix, bool_or(depth = length(word)) AS is_word FROM s GROUP BY 1)"
+_NUMBERED = f"{_NODES}, g AS (SELECT CAST(row_number() OVER (ORDER BY length(prefix), prefix) - 1 AS BIGINT) AS node_id, prefix, CAST(length(prefix) AS INT) AS depth, right(prefix, 1) AS ch, CASE WHEN length(prefix) > 0 THEN left(prefix, length(prefix) - 1) END AS parent, is_word FROM t)"
+
+
+def _search_sql(queries, model: str = "english") -> str:
+    """Recursion over word positions with the distance row as a list; one branch per query."""
+    costs_ = costs.preset(model)
+    letters = [*range(65, 91), *range(97, 123)]
+    parts, ctes = [], []
+    for q, query, n in queries:
+        modify, run = costs_.for_query(query)
+        listed = lambda xs: "[" + ", ".join(f"{x!r}::DOUBLE" for x in map(float, xs)) + "]"
+        table = ", ".join(f"('{chr(c)}', {float(costs_.insert[c])!r}::DOUBLE, {listed(modify[c])})" for c in letters)
+        m = len(query)
+        low = "list_transform(range(1, {m} + 2), lambda j: CASE WHEN j = 1 THEN d[1] + ins ELSE least(d[j] + ins, d[j - 1] + mods[j - 1]) END - {run}[j])".format(m=m, run=listed(run))
+        ctes.append(f"c{q}(ch, ins, mods) AS (VALUES {table})")
+        ctes.append(
+            f"r{q}(word, i, d) AS (SELECT word, 0, {listed(run)} FROM w UNION ALL SELECT word, i + 1, list_transform(range(1, {m} + 2), lambda k: list_min(b[1:k]) + {listed(run)}[k]) FROM (SELECT r.word, r.i, {low} AS b FROM r{q} r JOIN c{q} c ON c.ch = substr(r.word, r.i + 1, 1)) x)"
+        )
+        parts.append(f"SELECT * FROM (SELECT CAST({q} AS BIGINT) AS query_id, CAST(row_number() OVER (ORDER BY round(d[{m + 1}], 6), word) AS INT) AS rank, round(d[{m + 1}], 6) AS distance, word FROM r{q} WHERE i = length(word)) y WHERE rank <= {n}")
+    return f"WITH RECURSIVE {_WORDS}, {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+def _costs_sql() -> str:
+    model = costs.preset("english")
+    table = ", ".join(f"('{chr(c)}', {float(model.insert[c])!r}::DOUBLE, {float(model.remove[c])!r}::DOUBLE)" for c in [*range(65, 91), *range(97, 123)])
+    return f"WITH {_WORDS}, c(ch, i, r) AS (VALUES {table}), l AS (SELECT word, unnest(string_split(word, '')) AS ch FROM w) SELECT word, round(sum(i), 6) AS insert_cost, round(sum(r), 6) AS remove_cost FROM l JOIN c USING (ch) GROUP BY word"
+
+
+def _keys_sql(select: str) -> str:
+    edges = ", ".join(f"('{a}', '{b}')" for a, b in costs.key_edges())
+    return f"WITH RECURSIVE e(a, b) AS (VALUES {edges}), p(a, b, d) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT p.a, e.b, p.d + 1 FROM p JOIN e ON p.b = e.a WHERE p.d < 9), k AS (SELECT a AS from_ch, b AS to_ch, CAST(min(d) AS INT) AS dist FROM p GROUP BY 1, 2) {select}"
+
+
+_SCALED = "SELECT from_ch, to_ch, round(v / avg(v) OVER (), 6) AS weight FROM (SELECT from_ch, to_ch, {v} AS v FROM k) x"
+_ENGLISH = _search_sql(QUERY)
+ORACLE_SQL = {
+    "fuzzy_topk": _ENGLISH,
+    "fuzzy_topk_trie": _ENGLISH,
+    "fuzzy_topk_trie_noprune": _ENGLISH,
+    "fuzzy_topk_batch": _search_sql(BATCH),
+    "fuzzy_topk_german": _search_sql(QUERY, "german"),
+    "fuzzy_topk_german_compat": _search_sql(QUERY, "german_compat"),
+    "fuzzy_topk_simple_cost": _search_sql(QUERY, "simple"),
+    "unit_levenshtein_topk": f"WITH {_WORDS} SELECT CAST(levenshtein(word, 'alforuhm') AS INT) AS distance, word FROM w ORDER BY 1, 2 LIMIT 10",
+    "word_costs": _costs_sql(),
+    "dictionary_distinct": f"WITH {_WORDS} SELECT word FROM w",
+    "dictionary_partitions": f"WITH {_WORDS}, r AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS place, count(*) OVER () AS total FROM w) SELECT CAST(floor(place / ceil(total / 8)) AS INT) AS part, count(*) AS n_words, min(word) AS first_word, max(word) AS last_word FROM r GROUP BY 1",
+    "query_sets": f"WITH {_WORDS}, r AS (SELECT word, row_number() OVER (ORDER BY md5(word) DESC, word DESC) AS place FROM w) SELECT word, CASE WHEN place <= 25 THEN 'erased' ELSE 'existing' END AS query_type FROM r WHERE place <= 50",
+    "trie_nodes": f"WITH {_NUMBERED} SELECT node_id, prefix, depth, ch, parent, is_word FROM g",
+    "trie_node_count": f"WITH {_NODES} SELECT count(*) AS n_nodes FROM t",
+    "trie_depth_histogram": f"WITH {_NODES} SELECT CAST(length(prefix) AS INT) AS depth, count(*) AS n_nodes FROM t GROUP BY 1",
+    "trie_child_ranges": f"WITH {_NUMBERED} SELECT p.node_id, min(c.node_id) AS child_begin, max(c.node_id) + 1 AS child_end FROM g p JOIN g c ON c.parent = p.prefix GROUP BY 1",
+    "trie_descendants": f"WITH {_NODES}, u AS (SELECT prefix AS below, unnest(range(0, length(prefix) + 1)) AS d FROM t) SELECT left(below, d) AS prefix, CAST(count(*) - 1 AS BIGINT) AS n_descendants FROM u GROUP BY 1",
+    "trie_words": f"WITH {_WORDS} SELECT word FROM w",
+    "trie_membership": f"WITH {_WORDS}, p AS (SELECT word FROM w UNION SELECT word || 'zq' FROM w) SELECT found, count(*) AS n_words FROM (SELECT p.word IN (SELECT word FROM w) AS found FROM p) x GROUP BY 1",
+    "keyboard_distances": _keys_sql("SELECT from_ch, to_ch, dist FROM k"),
+    "keyboard_histogram": _keys_sql("SELECT dist, count(*) AS n_pairs FROM k GROUP BY 1"),
+    "keyboard_average": _keys_sql("SELECT round(avg(dist), 6) AS mean_dist, max(dist) AS most FROM k"),
+    "keyboard_linear": _keys_sql(_SCALED.format(v="2 - 2 * greatest(dist, 1) / 9")),
+    "keyboard_neighbors": _keys_sql(_SCALED.format(v="CASE WHEN greatest(dist, 1) = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END")),
+    **{name: analytics.report_sql(name) for name in analytics.REPORTS},
+}
+
+
+def measured(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Run queries to their counts under the timer and return the measurement rows."""
+    m = metrics.Metrics()
+    for name in names:
+        with m.measure(name):
+            m.add(f"{name}/rows", QUERIES[name](spark, sf_dir).count())
+    return m.rows(spark)
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
