@@ -8,11 +8,13 @@ on a band share a bucket.
 
 Documents with equal sets form a class first, so exact copies meet only once.  In a bucket
 the classes are compared with *hubs*, first its smallest member, then, as long as the bucket
-holds classes of different components, with 4, 32, 256, ... members of the largest component
-in it; members of one component are not compared again.  A compared hub leaves its bucket, so the loop ends when every pair
-of a bucket has been linked, connected through others, or compared: no cap, no dropped
-pair.  Each candidate is confirmed on the full sets.  With four rows and 32 bands a pair of
-similarity 0.75 shares no bucket with a probability of 5e-6.
+holds classes of different components, with 2, 4, 8, ... members of the largest component
+in it; members of one component are not compared again.  A compared hub leaves its bucket,
+so the loop ends when every pair of a bucket has been linked, connected through others, or
+compared: no cap, no dropped pair.  Before that, documents leave that share too few shingles
+with all the others together to be similar to any of them.  Each candidate is confirmed on
+the full sets.  With four rows and 32 bands a pair of similarity 0.75 shares no bucket with
+a probability of 5e-6.
 
 Defined results: a null, empty or blank text has an empty set and is its own component;
 rows that share an id count as one document; a row with a null id has a null component and
@@ -129,6 +131,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", shared.alias("i"), (F.size("su") + F.size("sv")).alias("t")).where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("u", "v")
 
 
+def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with their component."""
+    bucket = W.partitionBy("bucket")
+    marked = rest.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return marked.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high").drop("low", "high")
+
+
+def _linkable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows that can still have a link: a document whose shingles the other open ones share too
+    rarely (fewer than percent of its set) is similar enough to none of them."""
+    open_ = materialize(open_, "near-first-open")
+    shingle = sets.join(open_.select("rep", "n").distinct(), "rep").select("rep", "n", F.explode("shingles").alias("s"))
+    common = shingle.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+    able = shingle.join(common, "s", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") * 100 >= F.col("n") * percent)
+    return materialize(open_.join(able.select("rep").distinct(), "rep", "left_semi").select("bucket", "rep", "n"), "near-linkable")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -146,29 +165,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = known.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"]).join(same_id, "rep", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = _confirmed(first, sets, percent).unionByName(copies)
     labels = connected_components(edges)
-    rest = members.where("rep <> hub").select("bucket", "rep", "n")
-    signs = materialize(classes.join(rest.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.flatten(F.collect_list("bands")).alias("bands")), "near-signs")
-    hubs = 4
+    rest = _linkable(_open(members.where("rep <> hub").select("bucket", "rep", "n"), labels), sets, percent)
+    hubs = 2
     while True:
-        marked = rest.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        marked = materialize(marked.join(mixed, "bucket", "left_semi"), "near-open")
-        if marked.isEmpty():
-            break
+        open_ = _open(rest, labels)
         # the largest component's members first: most of the others are linked with one of them
-        ranked = marked.withColumn("weight", F.count("*").over(W.partitionBy("bucket", "component")))
+        ranked = open_.withColumn("weight", F.count("*").over(W.partitionBy("bucket", "component")))
         ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("weight"), "component", "rep")))
-        ranked = materialize(ranked.join(signs, "rep"), "near-ranked")
-        lead = ranked.where(F.col("rank") <= hubs).select(F.col("bucket").alias("at"), F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"), F.col("bands").alias("bv"))
-        # a pair that shares several buckets is compared in the least of them only
-        here = F.array_min(F.array_intersect("bands", "bv")) == F.col("bucket")
-        pairs = ranked.join(lead, (F.col("bucket") == F.col("at")) & (F.col("component") != F.col("cv")) & (F.col("rank") > F.col("rv")) & here)
+        ranked = materialize(ranked, "near-ranked")
+        if ranked.isEmpty():
+            break
+        lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
+        pairs = ranked.join(lead, "bucket").where("component <> cv and rank > rv")
         pairs = pairs.select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
         found = materialize(_confirmed(pairs, sets, percent), "near-links")
         if not found.isEmpty():
             labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         rest = ranked.where(F.col("rank") > hubs).select("bucket", "rep", "n")
-        hubs *= 8
+        hubs *= 2
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     joined = sketched.drop("bands").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), component)
