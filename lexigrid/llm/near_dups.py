@@ -11,9 +11,10 @@ the classes are compared with *hubs*, first its smallest member, then, as long a
 holds classes of different components, with 2, 4, 8, ... members of the largest component
 in it; members of one component are not compared again.  A compared hub leaves its bucket,
 so the loop ends when every pair of a bucket has been linked, connected through others, or
-compared: no cap, no dropped pair.  Before that, documents leave that share too few shingles
-with all the others together to be similar to any of them.  Each candidate is confirmed on
-the full sets.  With four rows and 32 bands a pair of similarity 0.75 shares no bucket with
+compared: no cap, no dropped pair.  Before that, and after
+each round that found links, documents leave that share too few shingles with the documents
+of all other components together to be similar to any of them.  Each candidate is confirmed
+on the full sets.  With four rows and 32 bands a pair of similarity 0.75 shares no bucket with
 a probability of 5e-6.
 
 Defined results: a null, empty or blank text has an empty set and is its own component;
@@ -132,20 +133,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component, with their component."""
-    bucket = W.partitionBy("bucket")
+    """Rows of the buckets that hold more than one component, with their component and their
+    bucket's smallest set size."""
     marked = rest.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return marked.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high").drop("low", "high")
+    marked = materialize(marked, "near-marked")
+    several = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high")
+    return marked.join(several.select("bucket", "least"), "bucket")
 
 
-def _linkable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows that can still have a link: a document whose shingles the other open ones share too
-    rarely (fewer than percent of its set) is similar enough to none of them."""
-    open_ = materialize(open_, "near-first-open")
-    shingle = sets.join(open_.select("rep", "n").distinct(), "rep").select("rep", "n", F.explode("shingles").alias("s"))
-    common = shingle.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    able = shingle.join(common, "s", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") * 100 >= F.col("n") * percent)
-    return materialize(open_.join(able.select("rep").distinct(), "rep", "left_semi").select("bucket", "rep", "n"), "near-linkable")
+def _linkable(rest: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, rep, n, k of the rows that can still have a link to another component.
+
+    k counts a document's shingles that an open document of another component has as well:
+    no intersection with such a document is larger.  A link between sets of n and m shingles
+    needs ``i * (100 + percent) >= percent * (n + m)``, and m is at least the bucket's
+    smallest size and ``n * percent / 100``, so rows whose k is below that leave.  Others lose
+    shared shingles by it, so passes repeat while each drops a tenth of the rows or more.
+    """
+    left = None
+    while True:
+        open_ = materialize(_open(rest.select("bucket", "rep", "n"), labels), "near-open")
+        shingle = sets.join(open_.select("rep", "component").distinct(), "rep").select("rep", "component", F.explode("shingles").alias("s"))
+        common = shingle.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("s")
+        k = shingle.join(common, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("k"))
+        partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+        able = open_.join(k, "rep").where(F.col("k") * (100 + percent) >= (F.col("n") + partner) * percent)
+        rest = materialize(able.select("bucket", "rep", "n", "k"), "near-linkable")
+        before, left = left if left is not None else open_.count(), rest.count()
+        if left * 10 > before * 9:
+            return rest
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -165,7 +181,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = known.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"]).join(same_id, "rep", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = _confirmed(first, sets, percent).unionByName(copies)
     labels = connected_components(edges)
-    rest = _linkable(_open(members.where("rep <> hub").select("bucket", "rep", "n"), labels), sets, percent)
+    rest = _linkable(members.where("rep <> hub").select("bucket", "rep", "n"), labels, sets, percent)
     hubs = 2
     while True:
         open_ = _open(rest, labels)
@@ -175,13 +191,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ranked = materialize(ranked, "near-ranked")
         if ranked.isEmpty():
             break
-        lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
-        pairs = ranked.join(lead, "bucket").where("component <> cv and rank > rv")
+        lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("k").alias("kv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
+        able = F.least("k", "kv") * (100 + percent) >= (F.col("n") + F.col("nv")) * percent
+        pairs = ranked.join(lead, "bucket").where("component <> cv and rank > rv").where(able)
         pairs = pairs.select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
         found = materialize(_confirmed(pairs, sets, percent), "near-links")
+        rest = ranked.where(F.col("rank") > hubs).select("bucket", "rep", "n", "k")
         if not found.isEmpty():
             labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        rest = ranked.where(F.col("rank") > hubs).select("bucket", "rep", "n")
+            rest = _linkable(rest, labels, sets, percent)
         hubs *= 2
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     joined = sketched.drop("bands").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
