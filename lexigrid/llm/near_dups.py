@@ -8,13 +8,14 @@ on a band share a bucket.
 
 Documents with equal sets form a class first, so exact copies meet only once.  In a bucket
 the classes are compared with *hubs*, first its smallest member, then, as long as the bucket
-holds classes of different components, with 2, 4, 8, ... members of the largest component
+holds classes of different components, with 2, 8, 32, ... members of the largest component
 in it; members of one component are not compared again.  A compared hub leaves its bucket,
 so the loop ends when every pair of a bucket has been linked, connected through others, or
 compared: no cap, no dropped pair.  Before that, and after
 each round that found links, documents leave that share too few shingles with the documents
-of all other components together to be similar to any of them.  Each candidate is confirmed
-on the full sets.  With four rows and 32 bands a pair of similarity 0.75 shares no bucket with
+of all other components together to be similar to any of them, and a pair goes no further
+whose parity bitmaps show that the sets differ in too many shingles; both bounds are exact.
+Each other candidate is confirmed on the full sets.  With four rows and 32 bands a pair of similarity 0.75 shares no bucket with
 a probability of 5e-6.
 
 Defined results: a null, empty or blank text has an empty set and is its own component;
@@ -35,6 +36,7 @@ from .textkit import chunks, materialize, mix, shingles, word_hashes, word_spans
 ROWS, BANDS = 4, 32
 WIDTH = 5
 PERCENT = 75
+PARITY_BITS = 2048
 
 
 def sketch(values: np.ndarray, owner: np.ndarray, n: int, bins: int = ROWS * BANDS) -> np.ndarray:
@@ -164,6 +166,23 @@ def _linkable(rest: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
             return rest
 
 
+def _parities(sets: DataFrame) -> DataFrame:
+    """rep, n, bits: for each of ``PARITY_BITS`` hash values, whether an odd number of the set's shingles has it."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(size)), size)
+            bit = mix(lists.flatten().to_numpy().astype(np.uint64) ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(PARITY_BITS)
+            words = np.zeros(len(size) * (PARITY_BITS // 64), np.uint64)
+            np.bitwise_xor.at(words, owner * (PARITY_BITS // 64) + (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << bit % np.uint64(64))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(words.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), bits], ["rep", "n", "bits"])
+
+    return sets.select("rep", "shingles").mapInArrow(run, "rep long, n long, bits array<long>").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -182,17 +201,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = _confirmed(first, sets, percent).unionByName(copies)
     labels = connected_components(edges)
     rest = _linkable(members.where("rep <> hub").select("bucket", "rep", "n"), labels, sets, percent)
+    parities = materialize(_parities(sets.join(rest.select("rep").distinct(), "rep", "left_semi")), "near-parities")
     hubs = 2
     while True:
-        open_ = _open(rest, labels)
+        open_ = _open(rest, labels).join(parities, ["rep", "n"])
         # the largest component's members first: most of the others are linked with one of them
         ranked = open_.withColumn("weight", F.count("*").over(W.partitionBy("bucket", "component")))
         ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("weight"), "component", "rep")))
         ranked = materialize(ranked, "near-ranked")
         if ranked.isEmpty():
             break
-        lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("k").alias("kv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
+        lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("k").alias("kv"), F.col("bits").alias("bv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
         able = F.least("k", "kv") * (100 + percent) >= (F.col("n") + F.col("nv")) * percent
+        # sets differ in at least as many shingles as their parities in bits
+        differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bv")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+        able = able & (differ * (100 + percent) <= (F.col("n") + F.col("nv")) * (100 - percent))
         pairs = ranked.join(lead, "bucket").where("component <> cv and rank > rv").where(able)
         pairs = pairs.select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
         found = materialize(_confirmed(pairs, sets, percent), "near-links")
@@ -200,7 +223,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not found.isEmpty():
             labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
             rest = _linkable(rest, labels, sets, percent)
-        hubs *= 2
+        hubs *= 4
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     joined = sketched.drop("bands").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), component)
