@@ -8,7 +8,7 @@ on a band share a bucket.
 
 Documents with equal sets form a class first, so exact copies meet only once.  In a bucket
 the classes are compared with *hubs*, first its smallest member, then, as long as the bucket
-holds classes of different components, with 2, 8, 32, ... members of the largest component
+holds classes of different components, with 2, 4, 8, ... members of the largest component
 in it; members of one component are not compared again.  A compared hub leaves its bucket,
 so the loop ends when every pair of a bucket has been linked, connected through others, or
 compared: no cap, no dropped pair.  Before that, and after
@@ -214,7 +214,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lead = ranked.where(F.col("rank") <= hubs).select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("k").alias("kv"), F.col("bits").alias("bv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
         able = F.least("k", "kv") * (100 + percent) >= (F.col("n") + F.col("nv")) * percent
         # sets differ in at least as many shingles as their parities in bits
-        differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bv")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+        differ = F.aggregate(F.zip_with("bits", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         able = able & (differ * (100 + percent) <= (F.col("n") + F.col("nv")) * (100 - percent))
         pairs = ranked.join(lead, "bucket").where("component <> cv and rank > rv").where(able)
         pairs = pairs.select(F.col("rep").alias("u"), "v", F.col("n").alias("nu"), "nv")
@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not found.isEmpty():
             labels = connected_components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
             rest = _linkable(rest, labels, sets, percent)
-        hubs *= 4
+        hubs *= 2
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     joined = sketched.drop("bands").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), component)
