@@ -162,7 +162,7 @@ def _linkable(rest: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
         able = open_.join(k, "rep").where(F.col("k") * (100 + percent) >= (F.col("n") + partner) * percent)
         rest = materialize(able.select("bucket", "rep", "n", "k"), "near-linkable")
         before, left = left if left is not None else open_.count(), rest.count()
-        if left * 10 > before * 9:
+        if left == 0 or left * 10 >= before * 9:
             return rest
 
 

@@ -210,6 +210,23 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dups.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_ends_where_nothing_is_left_to_link(spark, monkeypatch):
+    passes, write = [], near_dups.materialize
+
+    def counted(df, name):
+        passes.append(name)
+        assert passes.count("near-linkable") < 8, "the passes do not end"
+        return write(df, name)
+
+    monkeypatch.setattr(near_dups, "materialize", counted)
+    lone = {1: prose(40, 61), 2: prose(40, 62), 3: None}
+    copies = {1: prose(40, 63), 2: prose(40, 63), 3: prose(40, 63) + " end", 4: prose(40, 64)}
+    for texts, want in (({}, {}), (lone, {1: 1, 2: 2, 3: 3}), (copies, {1: 1, 2: 1, 3: 1, 4: 4})):
+        passes.clear()
+        rows = near_dups.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in rows} == want
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(3)
     a = r.integers(0, 1 << 62, 400).astype(np.uint64)
