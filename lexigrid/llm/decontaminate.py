@@ -6,6 +6,8 @@ words is found in a document where some stretch lies within ``floor(share * L)``
 * Windows of each item length start at every word.  An edit destroys at most two word
   pairs, so a window with fewer than ``L - 1 - 2 * edits`` pairs from the items cannot match
   and leaves; this bound loses nothing.
+* A text within the allowed edits of an item's length is one window by itself, also where it
+  is the shorter one.  It meets every item of which it has enough pairs, without sampling.
 * The rest are embedded by random walks (at step j the walk writes its symbol and moves on or
   stays by a random bit of (j, symbol)), which turn a few edits into a few differing steps.
   Repeated sampling of steps gives hash keys; a window meets the items with an equal key.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, RollingHash, chunks, mix
+from .textkit import LOWER, RollingHash, chunks, mix, ragged
 
 SHARE = 0.2
 MIN_WORDS = 8
@@ -131,6 +133,12 @@ class Items:
         self.member = np.zeros((len(self.lengths), len(self.pairs)), bool)
         for p, l in zip(pairs, self.length.tolist()):
             self.member[self.lengths.index(l), np.searchsorted(self.pairs, p)] = True
+        # the items that have each pair
+        rows = [np.unique(np.searchsorted(self.pairs, p)) for p in pairs]
+        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        order = np.argsort(row, kind="stable")
+        self.owners = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[order]
+        self.owner_starts = np.searchsorted(row[order], np.arange(len(self.pairs) + 1))
         self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if len(use):
             flat = np.concatenate(self.words)
@@ -143,22 +151,23 @@ class Items:
                     order = np.argsort(key.ravel(), kind="stable")
                     self.keys[seed, l] = key.ravel()[order], np.repeat(own, SAMPLES)[order]
 
-    def windows(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of the windows that the pair count leaves."""
-        none = np.zeros(0, np.int64)
-        if len(symbols) < 2 or not self.needs:
-            return none, none
+    def hits(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where the texts have a pair of the items, and which pair."""
         pair = pair_hashes(symbols)
         hit = self.map[(pair >> np.uint64(64 - _MAP_BITS)).astype(np.int64)]
         at = np.flatnonzero(hit)
         which = np.minimum(np.searchsorted(self.pairs, pair[at]), len(self.pairs) - 1)
         real = (self.pairs[which] == pair[at]) & ~np.isin(at, bounds[1:-1] - 1)
-        at, which = at[real], which[real]
+        return at[real], which[real]
+
+    def windows(self, symbols: np.ndarray, at: np.ndarray, which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of the windows that the pair count leaves."""
+        none = np.zeros(0, np.int64)
         double = symbols[at] == symbols[at + 1]
         starts, lengths = [none], [none]
         for k, l in enumerate(self.lengths):
             own = self.member[k, which]
-            if own.sum() < self.needs[l]:
+            if l > len(symbols) or own.sum() < self.needs[l]:
                 continue
             n = len(symbols) + 1
             single, twice = (np.cumsum(np.bincount(at[own & kind] + 1, minlength=n)) for kind in (~double, double))
@@ -169,6 +178,22 @@ class Items:
             lengths.append(np.full(len(found), l))
         return np.concatenate(starts), np.concatenate(lengths)
 
+    def whole(self, at: np.ndarray, which: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
+        """(text start, item) of the texts about as long as an item that have enough of its pairs."""
+        size, cut = np.diff(bounds), np.searchsorted(at, bounds)
+        fits = np.zeros(len(size), bool)
+        for l, e in {int(l): int(e) for l, e in zip(self.length, self.edits)}.items():
+            fits |= (np.abs(size - l) <= e) & (np.diff(cut) >= self.needs[l])
+        needs = self.length - 1 - 2 * self.edits
+        out: set[tuple[int, int]] = set()
+        for t in np.flatnonzero(fits).tolist():
+            pair = which[cut[t] : cut[t + 1]]
+            first, n = self.owner_starts[pair], np.diff(self.owner_starts)[pair]
+            count = np.bincount(self.owners[np.repeat(first, n) + ragged(n)], minlength=len(self.ids))
+            item = np.flatnonzero((count >= needs) & (np.abs(size[t] - self.length) <= self.edits))
+            out.update((int(bounds[t]), i) for i in item.tolist())
+        return out
+
     def candidates(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> set[tuple[int, int]]:
         """(window start, item) pairs that share a key."""
         out: set[tuple[int, int]] = set()
@@ -185,11 +210,15 @@ class Items:
 
     def search(self, symbols: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, word after) of the best stretch of each item in each text."""
-        start, length = self.windows(symbols, bounds)
-        if not len(start):
+        if not self.needs or not len(symbols):
             return []
+        at, which = self.hits(symbols, bounds)
+        start, length = self.windows(symbols, at, which, bounds)
+        met = self.whole(at, which, bounds)
+        if len(start):
+            met |= self.candidates(symbols, start, length)
         places: dict[tuple[int, int], list[int]] = {}
-        for p, item in self.candidates(symbols, start, length):
+        for p, item in met:
             places.setdefault((int(np.searchsorted(bounds, p, side="right")) - 1, item), []).append(p)
         out = []
         for (text, item), found in sorted(places.items()):

@@ -257,6 +257,26 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.best_match(item, part)[0] == 1 and decontaminate.best_match(item, part[:0])[0] == 4
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    r, item = random.Random(12), "".join(f" {w}{i}" for i, w in enumerate(prose(40, 65).split()))[1:].replace(".", "").replace(",", "")
+    texts = []
+    for k in range(61):
+        w = item.split()
+        for _ in range(k % 8 + 1 if k < 60 else 9):  # the last one has more than the allowed edits
+            del w[r.randrange(len(w))]
+        texts.append((k, " ".join(w)))
+    assert len(item.split()) == 40
+    items = spark.createDataFrame([(1, item), (2, prose(40, 67))], "item_id long, text string")
+    docs = spark.createDataFrame([*texts, (61, prose(33, 66)), (62, ""), (63, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(docs, items).collect()}
+    assert set(got) == set(range(60)) and {r.item_id for r in got.values()} == {1}
+    assert all((got[k].distance, got[k].start, got[k].end) == (k % 8 + 1, 0, len(t)) for k, t in texts[:60])
+    # alone in its chunk
+    block, data = decontaminate.Items([1], [item], 0.2, 8), np.frombuffer(texts[7][1].encode(), np.uint8)
+    symbols, _, _, bounds = decontaminate.words(data, np.array([0, len(data)]))
+    assert [found[:3] for found in block.search(symbols, bounds)] == [(0, 0, 8)]
+
+
 EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
