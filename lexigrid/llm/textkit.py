@@ -8,6 +8,10 @@ number of rows in an Arrow batch.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,22 +22,36 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; where the session names none, one is set for local use."""
+    """The folder every executor sees; a session on one machine that names none gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/lexigrid-checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="lexigrid-")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
@@ -160,9 +178,29 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts)
 
 
-def code_points(data: bytes, at: int) -> int:
-    """Code points before byte ``at``."""
-    return at if data.isascii() else len(data[:at].decode("utf-8", "replace"))
+def whole_groups(batches, key: str, rows: int):
+    """Tables of whole groups (rows with one key, which lie together), of at least so many rows but for the last."""
+    kept, size, last = [], 0, None
+    for batch in batches:
+        values = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        at = 0
+        while at < len(values):
+            if size >= rows:
+                # the open group goes on in front of the first other key
+                other = np.flatnonzero(values[at:] != last)
+                end = at + int(other[0]) if len(other) else len(values)
+                if end > at:
+                    kept.append(batch.slice(at, end - at))
+                if end < len(values):
+                    yield pa.Table.from_batches(kept).combine_chunks()
+                    kept, size = [], 0
+                at = end
+            else:
+                end = min(len(values), at + rows - size)
+                kept.append(batch.slice(at, end - at))
+                size, at, last = size + end - at, end, values[end - 1]
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
 
 
 #: Bits of the filter below: a broadcast of at most 1 MB, whatever the number of rows.

@@ -227,6 +227,40 @@ def test_near_duplicates_ends_where_nothing_is_left_to_link(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in rows} == want
 
 
+def test_near_duplicates_in_many_blocks_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    monkeypatch.setattr(near_dups, "LIKELIEST", 1)
+    r, words = random.Random(18), prose(60, 19).split()
+    texts = {}
+    for k in range(90):  # far from the first one, some of them near one another
+        w = list(words if k % 4 or not k else texts[max(0, k - 12)].split())
+        for _ in range(r.randint(0, 4) if k else 0):
+            w[r.randrange(len(w))] = f"q{r.randrange(9)}"
+        texts[k] = " ".join(w)
+    rows = near_dups.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == components({k: shingle_set(t) for k, t in texts.items()})
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    a, b, c = prose(40, 71), prose(40, 72), prose(40, 73)
+    rows = near_dups.near_duplicates(spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (9, c), (12, c), (20, prose(40, 74)), (20, prose(40, 75)), (3, None)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(1, 1, True), (5, 1, False), (9, 1, False), (12, 1, False), (20, 20, True), (3, 3, True)}
+
+
+def test_whole_groups_keep_keys_together():
+    import pyarrow as pa
+
+    from lexigrid.llm.textkit import whole_groups
+
+    keys = np.repeat(np.arange(9), [1, 5, 2, 30, 1, 1, 4, 9, 2])
+    for size in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[a : a + size])}) for a in range(0, len(keys), size)]
+        for rows in (1, 4, 50):
+            parts = [t["key"].to_pylist() for t in whole_groups(batches, "key", rows)]
+            assert sum(parts, []) == keys.tolist() and all(len(p) >= rows for p in parts[:-1])
+            assert all(p[-1] != q[0] for p, q in zip(parts, parts[1:]))
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(3)
     a = r.integers(0, 1 << 62, 400).astype(np.uint64)
