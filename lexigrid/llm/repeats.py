@@ -12,8 +12,8 @@ and groups that remain after the last digit are exactly the repeated strings.
   (copies, the inside of a shared passage) are repeated as a whole.
 * Remaining digits, for one run of each kind in groups where kinds differ: the windows'
   real bytes, eight at a time, as a most-significant-digit radix sort inside a task.  A group of more
-  than ``HOT`` kinds is not gathered: its windows go by two 64-bit digits of 100 bytes each
-  through a distributed count.
+  than ``HOT`` kinds is not gathered: its windows go, by a 128-bit cryptographic digest of their
+  200 bytes as the last digit, through a distributed count.
 
 Defined results: a null text counts as empty; a text shorter than the depth loses nothing;
 repeated rows repeat each other's strings; rows that share an id are kept apart by their
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import RollingHash, chunks, materialize, probable_members, ragged
+from .textkit import RollingHash, chunks, discard, materialize, probable_members, ragged
 
 DEPTH, GRAM = 200, 48
 #: Kinds of runs up to which a group is sorted in one task.
 HOT = 10_000
-#: Bytes of runs that a task sorts at a time (whole groups).
-SORT_BYTES = 2 << 20
+#: Bytes of runs that a task sorts at a time (whole groups), and of texts whose runs it looks for at a time.
+SORT_BYTES, RUN_BYTES = 2 << 20, 1 << 17
 
 _bytes = RollingHash(41)
 
@@ -81,10 +81,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int =
     return text, start - offsets[text], length, low[start], _bytes.of(sums, start, start + length + depth - 1)
 
 
-def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return _bytes.of(_bytes.sums(data), offsets[:-1], offsets[1:]).astype(np.int64)
-
-
 def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Which of the suffixes at ``at`` share their first depth bytes with another of their group."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -110,10 +106,11 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
 
 def _run_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for rows, data, offsets in chunks(batches):
+        for rows, data, offsets in chunks(batches, limit=RUN_BYTES):
             text, start, length, first, second = runs(data, offsets)
+            take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(text)), pa.array(text_hashes(data, offsets)[text]), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(first.astype(np.int64)), pa.array(second.astype(np.int64))],
+                [rows.column(0).take(take), rows.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(first.astype(np.int64)), pa.array(second.astype(np.int64))],
                 ["doc_id", "h", "start", "n", "first", "second"],
             )
 
@@ -121,44 +118,39 @@ def _run_rows(docs: DataFrame) -> DataFrame:
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """docs (doc_id, text) left-joined with a row of lists per id; null ids meet null ids."""
-    lists = lists.withColumnRenamed("doc_id", "__id")
-    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["__id"]), "left").drop("__id")
-
-
-def _listed(batch_rows, data, offsets, name: str):
-    """For each text of a chunk the entries of its list whose hash is the text's own."""
-    hashes = text_hashes(data, offsets).tolist()
-    column = batch_rows.column(batch_rows.schema.get_field_index(name)).to_pylist()
-    for i, (own, entries) in enumerate(zip(hashes, column)):
-        yield i, [e for e in entries or () if e["h"] == own]
+    """docs (doc_id, h, text) left-joined with a row of lists per id and text; null ids meet null ids."""
+    lists = lists.withColumnRenamed("doc_id", "__id").withColumnRenamed("h", "__h")
+    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["__id"]) & (docs["h"] == lists["__h"]), "left").drop("__id", "__h")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, h, start, end: byte spans of docs (doc_id, text) that repeated strings cover; spans may overlap."""
+    """doc_id, h, start, end: byte spans of docs (doc_id, h, text) that repeated strings cover; spans may overlap.
+
+    h is a hash of the text, which keeps rows apart that share an id.
+    """
     spark = docs.sparkSession
     every = materialize(_run_rows(docs), "repeat-runs")
     again = materialize(every.groupBy("first").count().where("count > 1").select("first"), "repeat-firsts")
-    live = materialize(every.join(again, "first", "left_semi"), "repeat-live")
+    live = materialize(probable_members(every, "first", again).join(again, "first", "left_semi"), "repeat-live")
+    discard(every, again)
     kinds = materialize(live.groupBy("first", "second").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "start", "n")).alias("at")), "repeat-kinds")
-    groups = materialize(kinds.groupBy("first").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeat-groups")
+    groups = kinds.groupBy("first").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = live.join(kinds.where("copies > 1").select("first", "second"), ["first", "second"], "left_semi").select("doc_id", "h", "start", (F.col("start") + F.col("n") + (DEPTH - 1)).alias("end"))
     mixed = kinds.join(groups, "first").select("at.*", "first", (F.col("copies") == 1).alias("alone"), (F.col("kinds") > HOT).alias("hot"))
     mixed = materialize(mixed, "repeat-mixed")
-    lists = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "first", "alone", "hot")).alias("runs"))
-    texts = _with_lists(probable_members(docs, "doc_id", mixed.select("doc_id")), lists).where("runs is not null")
+    lists = mixed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "first", "alone", "hot")).alias("runs"))
+    texts = _with_lists(probable_members(docs, "h", mixed.select("h")).dropDuplicates(["doc_id", "h"]), lists).where("runs is not null")
 
     def cut(batches):
         for rows, data, offsets in chunks(batches):
             out = {k: [] for k in ("doc_id", "h", "start", "n", "first", "alone", "hot", "data")}
-            ids = rows.column(0).to_pylist()
             raw = data.tobytes()
-            for i, entries in _listed(rows, data, offsets, "runs"):
-                at = int(offsets[i])
+            for doc, h, entries, at in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(rows.schema.get_field_index("runs")).to_pylist(), offsets.tolist()):
                 for e in entries:
-                    for k in ("h", "start", "n", "first", "alone", "hot"):
+                    for k in ("start", "n", "first", "alone", "hot"):
                         out[k].append(e[k])
-                    out["doc_id"].append(ids[i])
+                    out["doc_id"].append(doc)
+                    out["h"].append(h)
                     out["data"].append(raw[at + e["start"] : at + e["start"] + e["n"] + DEPTH - 1])
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], list(out))
 
@@ -167,11 +159,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * SORT_BYTES) + 1)
     dealt = cuts.where("not hot").select("first", "doc_id", "h", "start", "n", "alone", "data").repartition(parts, "first").sortWithinPartitions("first")
     sorted_ = dealt.mapInArrow(_sort_runs, "doc_id long, h long, start int, end int")
-    hot = cuts.where("hot").mapInArrow(_window_digits, "doc_id long, h long, start int, alone boolean, a long, b long")
+    hot = cuts.where("hot").mapInArrow(_window_digests, "doc_id long, h long, start int, alone boolean, digest binary")
     hot = materialize(hot, "repeat-hot")
-    common = materialize(hot.groupBy("a", "b").count().where("count > 1").select("a", "b"), "repeat-common")
-    hot = hot.where("alone").join(common, ["a", "b"], "left_semi").select("doc_id", "h", "start", (F.col("start") + DEPTH).alias("end"))
-    return whole.unionByName(sorted_).unionByName(hot)
+    common = hot.groupBy("digest").count().where("count > 1").select("digest")
+    hot = hot.where("alone").join(common, "digest", "left_semi").select("doc_id", "h", "start", (F.col("start") + DEPTH).alias("end"))
+    spans = materialize(whole.unionByName(sorted_).unionByName(hot), "repeat-spans")
+    discard(live, kinds, mixed, cuts)
+    return spans
 
 
 def _sort_runs(batches):
@@ -217,48 +211,46 @@ def _sort_runs(batches):
         yield out
 
 
-def _window_digits(batches):
-    """Every window of hot groups with two digits of half the depth each."""
-    half = DEPTH // 2
+def _window_digests(batches):
+    """Every window of hot groups with the digest of its bytes."""
     for batch in batches:
-        blob = batch.column(7).cast(pa.large_binary())
-        if not len(blob):
-            continue
-        offsets = np.frombuffer(blob.buffers()[1], np.int64)[blob.offset : blob.offset + len(blob) + 1]
-        data = np.frombuffer(blob.buffers()[2], np.uint8)
-        n = batch.column(3).to_numpy().astype(np.int64)
-        for a in range(0, len(n), 2000):
-            part = slice(a, min(a + 2000, len(n)))
-            row = np.repeat(np.arange(part.start, part.stop), n[part])
-            inside = ragged(n[part])
-            base = int(offsets[part.start])
-            sums = _bytes.sums(data[base : int(offsets[part.stop])])
-            at = offsets[row] - base + inside
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array((batch.column(2).to_numpy()[row] + inside).astype(np.int32)), batch.column(5).take(take), pa.array(_bytes.of(sums, at, at + half).astype(np.int64)), pa.array(_bytes.of(sums, at + half, at + DEPTH).astype(np.int64))],
-                ["doc_id", "h", "start", "alone", "a", "b"],
-            )
+        out = {k: [] for k in ("doc_id", "h", "start", "alone", "digest")}
+        for doc, h, start, n, alone, data in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("doc_id", "h", "start", "n", "alone", "data"))):
+            out["doc_id"] += [doc] * n
+            out["h"] += [h] * n
+            out["start"] += range(start, start + n)
+            out["alone"] += [alone] * n
+            out["digest"] += [hashlib.blake2b(data[i : i + DEPTH], digest_size=16).digest() for i in range(n)]
+            if len(out["start"]) > 100_000:
+                yield _digest_rows(out)
+                out = {k: [] for k in out}
+        yield _digest_rows(out)
+
+
+def _digest_rows(out: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], list(out))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep_text the remaining bytes too."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = materialize(repeated_spans(docs), "repeat-spans")
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end")).alias("spans"))
-    touched = _with_lists(probable_members(docs, "doc_id", spans.select("doc_id")), lists)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    spans = repeated_spans(docs)
+    # copies that share an id have equal spans
+    lists = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    touched = _with_lists(probable_members(docs, "h", spans.select("h")), lists)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches):
         for rows, data, offsets in chunks(batches):
             n = len(offsets) - 1
-            listed = dict(_listed(rows, data, offsets, "spans")) if "spans" in rows.schema.names else {}
+            at = rows.schema.get_field_index("spans")
+            listed = rows.column(at).to_pylist() if at >= 0 else [None] * n
             removed, count, digest, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
             raw = data.tobytes()
             for i in range(n):
                 text = raw[offsets[i] : offsets[i + 1]]
                 pieces, last = [], 0
-                for s, e in sorted((x["start"], x["end"]) for x in listed.get(i, ())):
+                for s, e in sorted((x["start"], x["end"]) for x in listed[i] or ()):
                     if s > last or not count[i]:
                         pieces.append(text[last:s])
                         count[i] += 1
@@ -270,5 +262,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept.append(b"".join(pieces))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(count), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if keep_text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * keep_text)])
 
-    clean = probable_members(docs, "doc_id", spans.select("doc_id"), absent=True)
+    clean = probable_members(docs, "h", spans.select("h"), absent=True)
     return touched.mapInArrow(run, schema).unionByName(clean.mapInArrow(run, schema))

@@ -376,6 +376,15 @@ def test_repeats(docs, empty, monkeypatch, hot):
     assert got[9].n_removed and repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_shared_and_null_ids(spark):
+    a, b = prose(80, 91), prose(80, 92)
+    rows = repeats.remove_repeats(spark.createDataFrame([(None, a), (None, a), (None, b), (None, None), (1, a + b), (1, prose(80, 93)), (1, "")], "doc_id long, text string")).collect()
+    got = sorted((r.doc_id is not None, r.n_bytes, r.n_removed, r.n_spans) for r in rows)
+    # the stretch where a ends and b begins is in no other text
+    want = [(False, len(a), len(a), 1), (False, len(a), len(a), 1), (False, len(b), len(b), 1), (False, 0, 0, 0), (True, len(a + b), len(a + b), 1), (True, len(prose(80, 93)), 0, 0), (True, 0, 0, 0)]
+    assert got == sorted(want)
+
+
 def test_media(docs, empty):
     stored = media.encode_media(docs)
     got = by_id(media.media_digest(stored))
