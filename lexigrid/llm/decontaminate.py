@@ -1,7 +1,9 @@
 """Benchmark decontamination: random-walk embedding, bit sampling, exact edit distance.
 
-Texts are sequences of words (runs of letters and digits, A-Z lower-cased).  An item of L
-words is found in a document where some stretch lies within ``floor(share * L)`` word edits.
+Texts are sequences of words (runs of letters and digits, A-Z lower-cased; a character of a
+script without spaces is a word).  An item of L words is found in a document where some stretch
+lies within ``floor(share * L)`` word edits; items of fewer than ``min_words`` words are
+looked for without edits, by a hash of their whole sequence.
 
 * Windows of each item length start at every word.  An edit destroys at most two word
   pairs, so a window with fewer than ``L - 1 - 2 * edits`` pairs from the items cannot match
@@ -13,13 +15,12 @@ words is found in a document where some stretch lies within ``floor(share * L)``
   Repeated sampling of steps gives hash keys; a window meets the items with an equal key.
 * The edit distance of each meeting is computed exactly around the window.
 
-The benchmark is a stated query set: it is sent to all tasks in blocks of ``BLOCK_ITEMS``
-items, so what is broadcast is bounded whatever the benchmark's size.
+The benchmark is a stated query set: it is sent to all tasks in blocks of about ``BLOCK_BYTES``
+of text, so what is broadcast is bounded whatever the benchmark's size.
 
-Defined results: null and empty texts contain nothing; items of fewer than ``min_words``
-words identify no passage and are not looked for; repeated documents and repeated items
-give repeated rows; null ids keep their rows; empty tables give no rows; other columns are
-not read.
+Defined results: null and empty texts contain nothing; items without words identify no
+passage and are not looked for; repeated documents and repeated items give repeated rows;
+null ids keep their rows; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .textkit import LOWER, RollingHash, chunks, mix, ragged
 
 SHARE = 0.2
 MIN_WORDS = 8
-BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 2 << 20
 #: Random walks, samples of each walk, and steps of a sample.
 WALKS, SAMPLES, STEPS = 4, 12, 5
 _MAP_BITS = 20
@@ -53,14 +54,38 @@ def words(data: np.ndarray, offsets: np.ndarray):
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
     inner = cuts[solid[cuts + 1] & solid[cuts]]
     first[inner] = last[inner] = True
+    if (data >= 0xE0).any():
+        at, size = unspaced(data)
+        first[at] = last[at + size] = True
+        last[at[solid[at]]] = True
+        first[(at + size)[solid[at + size + 1]]] = True
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
     return _hash.of(_hash.sums(LOWER[data]), starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sizes of the characters of scripts without spaces: Thai to Khmer, kana and Han."""
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 3 <= len(data)]
+    lead, second = data[at], data[at + 1]
+    long = (lead == 0xF0) & (second >= 0xA0)
+    own = long | ((lead >= 0xE4) & (lead <= 0xE9)) | ((lead == 0xE3) & (second >= 0x81)) | ((lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB))
+    own |= (lead == 0xE1) & (((second >= 0x80) & (second <= 0x82)) | ((second >= 0x9E) & (second <= 0x9F)))
+    return at[own], np.where(long[own], 4, 3)
+
+
 def pair_hashes(symbols: np.ndarray) -> np.ndarray:
     return mix(symbols[:-1] * np.uint64(0x9E3779B97F4A7C15) + symbols[1:])
 
 
+def sequence_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` symbols from every place on (fewer at the end)."""
+    out = np.zeros(len(symbols), np.uint64)
+    for k in range(length):
+        out[: len(out) - k] = mix(out[: len(out) - k] ^ symbols[k:]) + np.uint64(k + 1)
+    return out
+
+
 def walk(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
     """Random-walk embeddings (windows x 3 * longest) of windows of a symbol sequence."""
     steps = 3 * int(length.max())
@@ -116,7 +141,8 @@ class Items:
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         symbols, _, _, bounds = words(data, offsets)
         length = np.diff(bounds)
-        use = np.flatnonzero(length >= min_words)
+        self._short(ids, symbols, bounds, np.flatnonzero((length > 0) & (length < max(2, min_words))))
+        use = np.flatnonzero(length >= max(2, min_words))
         self.ids = [ids[i] for i in use.tolist()]
         self.length = length[use]
         self.edits = np.floor(self.length * share).astype(np.int64)
@@ -128,17 +154,15 @@ class Items:
         # pairs of one word with itself, as in repeated words, count only as often as an item has any
         self.doubles = max((int((w[1:] == w[:-1]).sum()) for w in self.words), default=0)
         self.needs = {int(l): int(l - 1 - 2 * e) for l, e in zip(self.length, self.edits)}
-        # which pairs the items of each length have
-        self.lengths = sorted(self.needs)
-        self.member = np.zeros((len(self.lengths), len(self.pairs)), bool)
-        for p, l in zip(pairs, self.length.tolist()):
-            self.member[self.lengths.index(l), np.searchsorted(self.pairs, p)] = True
         # the items that have each pair
         rows = [np.unique(np.searchsorted(self.pairs, p)) for p in pairs]
         row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         order = np.argsort(row, kind="stable")
         self.owners = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[order]
         self.owner_starts = np.searchsorted(row[order], np.arange(len(self.pairs) + 1))
+        # the lengths of the items that have each pair
+        kinds = np.unique(np.stack([row, np.repeat(self.length, [len(r) for r in rows])]), axis=1) if rows else np.zeros((2, 0), np.int64)
+        self.kinds, self.kind_starts = kinds[1], np.searchsorted(kinds[0], np.arange(len(self.pairs) + 1))
         self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if len(use):
             flat = np.concatenate(self.words)
@@ -151,6 +175,31 @@ class Items:
                     order = np.argsort(key.ravel(), kind="stable")
                     self.keys[seed, l] = key.ravel()[order], np.repeat(own, SAMPLES)[order]
 
+    def _short(self, ids: list, symbols: np.ndarray, bounds: np.ndarray, use: np.ndarray) -> None:
+        """Per length the sequence hashes of the short items and their ids."""
+        self.short: dict[int, tuple[np.ndarray, list]] = {}
+        for l in np.unique(np.diff(bounds)[use]).tolist():
+            own = use[np.diff(bounds)[use] == l]
+            key = sequence_hashes(symbols, l)[bounds[own]]
+            order = np.argsort(key, kind="stable")
+            self.short[l] = key[order], [ids[i] for i in own[order].tolist()]
+
+    def short_hits(self, symbols: np.ndarray, bounds: np.ndarray) -> list[tuple[int, object, int, int]]:
+        """(text, id, first word, word after) of the first place of each short item in each text."""
+        out = []
+        for l, (known, ids) in self.short.items():
+            key = sequence_hashes(symbols, l)
+            low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+            seen = set()
+            for p in np.flatnonzero(high > low).tolist():
+                text = int(np.searchsorted(bounds, p, side="right")) - 1
+                if p + l <= bounds[text + 1]:
+                    for i in range(low[p], high[p]):
+                        if (text, i) not in seen:
+                            seen.add((text, i))
+                            out.append((text, ids[i], p, p + l))
+        return out
+
     def hits(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places where the texts have a pair of the items, and which pair."""
         pair = pair_hashes(symbols)
@@ -162,15 +211,20 @@ class Items:
 
     def windows(self, symbols: np.ndarray, at: np.ndarray, which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of the windows that the pair count leaves."""
-        none = np.zeros(0, np.int64)
         double = symbols[at] == symbols[at + 1]
-        starts, lengths = [none], [none]
-        for k, l in enumerate(self.lengths):
-            own = self.member[k, which]
-            if l > len(symbols) or own.sum() < self.needs[l]:
+        size = np.diff(self.kind_starts)[which]
+        hit = np.repeat(np.arange(len(at)), size)
+        kind = self.kinds[np.repeat(self.kind_starts[which], size) + ragged(size)]
+        order = np.argsort(kind, kind="stable")
+        hit, kind = hit[order], kind[order]
+        starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        first = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else kind
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(kind)]):
+            l, own = int(kind[a]), hit[a:b]
+            if l > len(symbols) or b - a < self.needs[l]:
                 continue
             n = len(symbols) + 1
-            single, twice = (np.cumsum(np.bincount(at[own & kind] + 1, minlength=n)) for kind in (~double, double))
+            single, twice = (np.cumsum(np.bincount(at[own[double[own] == d]] + 1, minlength=n)) for d in (False, True))
             count = single[l - 1 :] - single[: n - l + 1] + np.minimum(twice[l - 1 :] - twice[: n - l + 1], self.doubles)
             found = np.flatnonzero(count[: n - l] >= self.needs[l])
             found = found[found + l <= bounds[np.searchsorted(bounds, found, side="right")]]
@@ -244,7 +298,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     schema = "doc_id long, item_id long, distance long, item_words long, start long, end long"
-    blocks = items.count() // BLOCK_ITEMS + 1
+    blocks = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n // BLOCK_BYTES + 1
     out = docs.sparkSession.createDataFrame([], schema)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
@@ -253,22 +307,21 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         def run(batches, block=block):
             for rows, data, offsets in chunks(batches):
                 symbols, starts, ends, bounds = words(data, offsets)
-                found = block.search(symbols, bounds)
+                found = [(t, block.ids[i], d, int(block.length[i]), a, e) for t, i, d, a, e in block.search(symbols, bounds)]
+                found += [(t, i, 0, e - a, a, e) for t, i, a, e in block.short_hits(symbols, bounds)]
                 lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 base = [int(lead[offsets[t]]) for t, *_ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0).take(pa.array([t for t, *_ in found], pa.int64())),
-                        pa.array([block.ids[i] for _, i, *_ in found], pa.int64()),
-                        pa.array([d for _, _, d, *_ in found], pa.int64()),
-                        pa.array([int(block.length[i]) for _, i, *_ in found], pa.int64()),
-                        pa.array([int(lead[starts[a]]) - z for (*_, a, _), z in zip(found, base)], pa.int64()),
-                        pa.array([int(lead[ends[e - 1]]) - z for (*_, e), z in zip(found, base)], pa.int64()),
+                        *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)),
+                        pa.array([int(lead[starts[f[4]]]) - z for f, z in zip(found, base)], pa.int64()),
+                        pa.array([int(lead[ends[f[5] - 1]]) - z for f, z in zip(found, base)], pa.int64()),
                     ],
                     ["doc_id", "item_id", "distance", "item_words", "start", "end"],
                 )
 
-        if block.ids:
+        if block.ids or block.short:
             out = out.unionByName(docs.mapInArrow(run, schema))
     return out
 
