@@ -159,7 +159,7 @@ class Dfa:
     """Transition arrays: ``next[state * n_classes + class]`` is the next state times n_classes.
 
     State 0 is the start; states from ``accept`` on (also times n_classes) accept, and
-    ``masks`` tells which of the compiled trees do; ``dead`` is the state without a way to
+    ``rules`` tells which of the compiled trees do; ``dead`` is the state without a way to
     acceptance, or -1.
     """
 
@@ -225,21 +225,20 @@ class Dfa:
         self.classes = byte_class.tobytes()
         self.next = (small * n).ravel().tolist()
         self.accept = int((masks == 0).sum()) * n
-        self.masks = masks.tolist()
+        self.rules = [[k for k in range(64) if m >> k & 1] for m in masks.tolist()]
         stuck = np.flatnonzero((small == np.arange(count)[:, None]).all(axis=1) & (masks == 0))
         self.dead = int(stuck[0]) * n if len(stuck) else -1
 
 
 @lru_cache(maxsize=256)
-def anchored(pattern: str, backwards: bool = False) -> Dfa:
-    tree = parse(pattern)
-    return Dfa([reverse(tree) if backwards else tree], search=False)
+def anchored(pattern: str) -> Dfa:
+    return Dfa([parse(pattern)], search=False)
 
 
 @lru_cache(maxsize=16)
-def searching(patterns: tuple[str, ...]) -> Dfa:
-    """One automaton that tells, after each byte, which patterns end there."""
-    return Dfa([parse(p) for p in patterns], search=True)
+def starting(patterns: tuple[str, ...]) -> Dfa:
+    """One automaton that, reading a text from its end, tells after each byte which patterns have a match that starts there."""
+    return Dfa([reverse(parse(p)) for p in patterns], search=True)
 
 
 def longest(dfa: Dfa, classes: bytes, start: int) -> int:
@@ -254,15 +253,3 @@ def longest(dfa: Dfa, classes: bytes, start: int) -> int:
             break
     return best
 
-
-def leftmost(dfa: Dfa, classes: bytes, end: int, floor: int) -> int:
-    """Start of the longest match of a reversed automaton that ends at end and begins at floor or later, or -1."""
-    move, accept, dead, state = dfa.next, dfa.accept, dfa.dead, dfa.start
-    best = end if state >= accept else -1
-    for i in range(end - 1, floor - 1, -1):
-        state = move[state + classes[i]]
-        if state >= accept:
-            best = i
-        elif state == dead:
-            break
-    return best

@@ -1,10 +1,10 @@
 """Secret scans with one combined automaton.
 
-Every rule has a pattern and a trigger, a pattern that each match begins with.  All
-triggers are compiled together, by subset construction and minimisation, into one
-transition array, and one pass over a text's bytes reports where any of them ends.  At such
-a place the rule's reversed trigger finds the start and its own automaton the longest end;
-matches of a rule are leftmost and do not overlap.
+The patterns of all rules are compiled together, whole, by subset construction and
+minimisation into one transition array.  One pass over a text's bytes, from the last to the
+first, tells for every rule where its matches start; from the first start behind a rule's last
+match its own array runs to the longest end.  Matches of a rule are leftmost and do not
+overlap, and those that fail the rule's condition are dropped.  The time is linear in the text.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give equal
 rows; a null id keeps its row; an empty table gives no rows; other columns are not read by
@@ -14,6 +14,8 @@ exclusive.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -21,64 +23,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import anchored, leftmost, longest, searching
+from .automaton import anchored, longest, starting
 from .textkit import chunks
 
 
+_SEPARATED = re.compile(rb"""[^:=]*[:=]\x20*["']?""")
+
+
+def value_length(match: bytes) -> int:
+    """Length of an assignment's value: what follows the first ``:`` or ``=``, blanks and a quote."""
+    return len(match) - _SEPARATED.match(match).end()
+
+
 class Rule(NamedTuple):
     kind: str
     pattern: str
-    trigger: str
+    holds: Callable[[bytes], bool] = bool
     base: bool = False
 
 
-_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""
 RULES = (
-    Rule("assign", _ASSIGN + "+", _ASSIGN, True),
-    Rule("access", "AKIA[A-Z0-9]{16,}", "AKIA", True),
-    Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]{24}", True),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-"),
-    Rule("google", "AIza[0-9A-Za-z_-]{35}", "AIza"),
-    Rule("stripe", "sk_(live|test)_[A-Za-z0-9]{16,}", "sk_(live|test)_"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ[A-Za-z0-9_-]"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", "-----BEGIN "),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", lambda m: value_length(m) >= 6, True),
+    Rule("access", "AKIA[A-Z0-9]+", lambda m: len(m) >= 20, True),
+    Rule("hex", "[0-9a-f]{24,}", base=True),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", lambda m: len(m) >= 40),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", lambda m: len(m) >= 15),
+    Rule("google", "AIza[0-9A-Za-z_-]+", lambda m: len(m) >= 39),
+    Rule("stripe", "sk_(live|test)_[A-Za-z0-9]+", lambda m: len(m) >= 24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: min(map(len, m.split(b"."))) >= 8),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(\x0D?\x0A[A-Za-z0-9+/=]+)*(\x0D?\x0A-----END [A-Z ]*PRIVATE KEY-----)?"),
 )
-#: Characters that the value of an assignment must have.
-LEAST_VALUE = 6
-_VALUE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-
-
-def value_length(match: bytes) -> int:
-    """Length of an assignment's value: what follows the first ``:`` or ``=``, blanks and a quote."""
-    at = min(i for i in (match.find(b":"), match.find(b"=")) if i >= 0) + 1
-    while match[at : at + 1] == b" ":
-        at += 1
-    return len(match) - at - (match[at] not in _VALUE)
 
 
 def scan(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, end, rule) byte spans by start, then rule."""
-    dfa = searching(tuple(r.trigger for r in rules))
-    move, accept, state, n = dfa.next, dfa.accept, dfa.start, dfa.n_classes
-    found: list[tuple[int, int, int]] = []
-    floors = [0] * len(rules)
-    for i, c in enumerate(text.translate(dfa.classes)):
+    dfa = starting(tuple(r.pattern for r in rules))
+    move, accept, state = dfa.next, dfa.accept, dfa.start
+    starts: dict[int, list[int]] = {}
+    for i, c in enumerate(text[::-1].translate(dfa.classes), 1):
         state = move[state + c]
         if state >= accept:
-            mask, k = dfa.masks[state // n], -1
-            while mask:
-                k += 1
-                if mask & 1 and i >= floors[k]:
-                    back, ahead = anchored(rules[k].trigger, True), anchored(rules[k].pattern)
-                    start = leftmost(back, _Classes(text, back.classes), i + 1, floors[k])
-                    if start >= 0:
-                        end = longest(ahead, _Classes(text, ahead.classes), start)
-                        if end >= 0:
-                            floors[k] = end
-                            if rules[k].kind != "assign" or value_length(text[start:end]) >= LEAST_VALUE:
-                                found.append((start, end, k))
-                mask >>= 1
+            for k in dfa.rules[state // dfa.n_classes]:
+                starts.setdefault(k, []).append(len(text) - i)
+    found = []
+    for k, places in starts.items():
+        ahead, end = anchored(rules[k].pattern), 0
+        for start in reversed(places):
+            if start >= end:
+                end = longest(ahead, _Classes(text, ahead.classes), start)
+                if rules[k].holds(text[start:end]):
+                    found.append((start, end, k))
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
