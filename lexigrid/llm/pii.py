@@ -3,8 +3,9 @@
 The base kinds follow fixed patterns.  Around places that hold a digit, an ``@`` or a written-out
 "(at)", a semi-Markov model scores whole candidate spans of up to ``LONGEST`` tokens by features of the span
 as a whole (digits, checksums, separators, neighbours) and of the step between
-types; dynamic programming over spans chooses boundaries and types together.  Spans that do
-not touch a base span are added.  The model is trained here, on sentences generated from a
+types; dynamic programming over spans chooses boundaries and types together, over long stretches in
+overlapping parts.  Tokens are runs without white space; long ones are cut at punctuation and where
+a script begins or ends.  Spans that do not touch a base span are added.  The model is trained here, on sentences generated from a
 seed, by the exact gradient of the likelihood of their segmentations.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give equal
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -31,18 +33,21 @@ ADDED = tuple(f"crf_{k}" for k in KINDS)
 LABELS = ("other", *KINDS)
 #: Tokens of an entity at most.
 LONGEST = 6
-#: Tokens of context on both sides of a place that may hold personal data.
-AROUND = 3
+#: Tokens of context on both sides of a place that may hold personal data, and of a part of a long stretch.
+AROUND, PART = 3, 64
+#: Bytes from which on a token is cut, and of spans whose features are kept for the next time.
+LONG_TOKEN, LONG_SPAN = 64, 512
 SENTENCES, EPOCHS, RATE = 500, 4, 0.4
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(rb"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(rb"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
-_HINT = re.compile(rb"[0-9@]|[\[(]at[\])]", re.I)
+_HINT = re.compile(rb"[0-9@]|[\[(]at[\])]|[\[( ]dot[\]) ]", re.I)
 _TOKEN = re.compile(rb"[^\x20\x09-\x0d]+")
+_PIECE = re.compile(rb"""[\x80-\xff]+|[^\x80-\xff,;"'<>{}|&=?/\\]+|.""", re.S)
 
 
 def luhn(digits: bytes) -> bool:
@@ -58,7 +63,7 @@ def only_digits(part: bytes) -> bytes:
 
 
 def octets(part: bytes) -> bool:
-    return all(len(x) < 12 and int(x) <= 255 for x in part.split(b"."))
+    return all(len(x) <= 3 and int(x or b"0") <= 255 for x in (y.lstrip(b"0") for y in part.split(b".")))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -84,9 +89,13 @@ def _size(n: int, *steps: int) -> int:
     return sum(n >= s for s in steps)
 
 
-@lru_cache(maxsize=200_000)
 def span_features(span: tuple[bytes, ...], before: bytes, after: bytes) -> tuple[str, ...]:
     """Names of the features of a whole candidate span."""
+    of = _known_features if sum(map(len, span)) + len(before) + len(after) <= LONG_SPAN else _features
+    return of(span, before, after)
+
+
+def _features(span: tuple[bytes, ...], before: bytes, after: bytes) -> tuple[str, ...]:
     joined = b" ".join(span)
     low = joined.lower()
     digits = only_digits(joined)
@@ -119,6 +128,9 @@ def span_features(span: tuple[bytes, ...], before: bytes, after: bytes) -> tuple
     return tuple(out)
 
 
+_known_features = lru_cache(maxsize=200_000)(_features)
+
+
 class SemiCrf:
     """Weights by feature and label, and between labels of neighbouring segments."""
 
@@ -252,31 +264,59 @@ def trained(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = 3) -> SemiCrf:
     return model
 
 
+class Spans:
+    """Sorted spans, asked whether any of them overlaps a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = sorted(a for a, _, _ in spans)
+        self.ends = np.maximum.accumulate([b for _, b, _ in sorted(spans)]).tolist() if spans else []
+
+    def overlap(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.ends[at - 1] > start
+
+
+def tokens_of(text: bytes) -> list[tuple[int, int]]:
+    """Start and end of the tokens."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        if m.end() - m.start() <= LONG_TOKEN:
+            out.append(m.span())
+        else:
+            out += [p.span() for p in _PIECE.finditer(text, *m.span())]
+    return out
+
+
 def added_spans(text: bytes, base: list[tuple[int, int, int]], model: SemiCrf) -> list[tuple[int, int, int]]:
     """Spans of the model that touch no base span; kinds are numbered behind the base kinds."""
-    hints = [m.start() for m in _HINT.finditer(text)]
-    covered = lambda i: any(a <= i < b for a, b, _ in base)
-    if base:
-        hints = [i for i in hints if not covered(i)]
+    known = Spans(base)
+    hints = [m.start() for m in _HINT.finditer(text) if not base or not known.overlap(m.start(), m.start() + 1)]
     if not hints:
         return []
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    starts = [a for a, _ in tokens]
-    hit = sorted(set((np.searchsorted(starts, hints, side="right") - 1).tolist()))
-    out, k = [], 0
+    tokens = tokens_of(text)
+    # a written-out word may begin with the blank in front of its token
+    hit = np.unique(np.clip(np.searchsorted([b for _, b in tokens], hints, side="right"), 0, len(tokens) - 1)).tolist()
+    out, k, margin = [], 0, LONGEST + AROUND
     while k < len(hit):
         a = max(0, hit[k] - AROUND)
-        while k + 1 < len(hit) and hit[k + 1] - hit[k] <= 2 * AROUND and hit[k + 1] - a < 64:
+        while k + 1 < len(hit) and hit[k + 1] - hit[k] <= 2 * AROUND:
             k += 1
         b = min(len(tokens), hit[k] + AROUND + 1)
         k += 1
-        for s, e, y in model.decode([text[i : min(j, i + 256)] for i, j in tokens[a:b]]):
-            if y:
-                i, j = tokens[a + s][0], tokens[a + e - 1][1]
-                while j > i + 1 and text[j - 1] in b".,;:!?":
-                    j -= 1
-                if not any(p < j and i < q for p, q, _ in base):
-                    out.append((i, j, len(KINDS) + y - 1))
+        done = a
+        for core in range(a, b, PART):
+            low, stop = max(a, core - margin), core + PART if b > core + PART else b
+            for s, e, y in model.decode([text[i:j] for i, j in tokens[low : min(b, stop + margin)]]):
+                s, e = low + s, low + e
+                if y and max(core, done) <= s < stop:
+                    done = e
+                    i, j = tokens[s][0], tokens[e - 1][1]
+                    while j > i + 1 and text[j - 1] in b""".,;:!?"'<>{}|&=/\\""":
+                        j -= 1
+                    while i < j - 1 and text[i] in b""",;:"'<>{}|&=?/\\""":
+                        i += 1
+                    if not known.overlap(i, j):
+                        out.append((i, j, len(KINDS) + y - 1))
     return sorted({s for s in out}, key=lambda s: (s[0], s[2]))
 
 

@@ -160,6 +160,28 @@ def test_secrets(docs, empty):
     assert secrets.secrets_digest(empty).count() == 0 and secrets.redact_secrets(empty).columns == docs.columns
 
 
+def test_every_rule_against_re():
+    r = random.Random(15)
+    parts = [b"ghp_", b"a1B2" * 9, b"xoxb-", b"0-9" * 4, b"AIza", b"_-x" * 12, b"sk_live_", b"eyJ", b"eyJhbGciOi", b".", b"-----BEGIN RSA PRIVATE KEY-----", b"-----END RSA PRIVATE KEY-----", b"\r\n", b"\n", b"MIIE/+=", b" ", b"BEGIN "]
+    own = [re.compile(rule.pattern.encode()) for rule in secrets.RULES]
+    for _ in range(3000):
+        x = b"".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        want = [(m.start(), m.end(), k) for k, rule in enumerate(secrets.RULES) for m in own[k].finditer(x) if rule.holds(m[0])]
+        assert secrets.scan(x) == sorted(want, key=lambda s: (s[0], s[2]))
+    key = b"a\n-----BEGIN PRIVATE KEY-----\nMIIEvQ\nab+/==\n-----END PRIVATE KEY-----\nb"
+    assert secrets.scan(key) == [(2, len(key) - 2, 8)]
+
+
+@pytest.mark.parametrize("x", [b"eyJA" * 250_000, b"eyJa.eyJb.eyJc." + b"x" * 1_000_000, b"ab" * 500_000, b"1" * 1_000_000, b"a.b@c.org 10.0.0.1 " * 50_000, b"password=" * 110_000, b"@+1.(" * 200_000, b"x" * 1_000_000])
+def test_scans_of_long_texts_are_linear(x):
+    import time
+
+    began = time.process_time()
+    secrets.scan(x)
+    pii.added_spans(x, pii.base_spans(x), pii.trained())
+    assert time.process_time() - began < 60
+
+
 @pytest.mark.parametrize("pattern", ["a(b|cd)*e?", "[a-c]{2,3}x", "(?i:ab)+", "a.?b".replace(".", "c"), "\\x61{2,}b"])
 def test_automata_match_like_re(pattern):
     own = re.compile(pattern.encode())
@@ -379,6 +401,19 @@ def test_personal_data(docs, empty):
     assert sum(model.decode(tokens) == gold for tokens, gold in unseen) > 140
 
 
+def test_personal_data_in_long_tokens_and_stretches():
+    model = pii.trained()
+    assert [pii.octets(x) for x in (b"000000000001.2.3.4", b"1.2.3.256", b"0000.0.0.00", b"1.2.3.1000")] == [True, False, True, False]
+    spans = lambda x: [x[a:b] for a, b, _ in pii.added_spans(x, pii.base_spans(x), model)]
+    # behind the first 256 bytes of a token, and between characters of another script
+    assert b"555-123-4567" in spans(b'"x":"y",' * 60 + b'"tel":"555-123-4567"')
+    assert spans("電話".encode() * 50 + b"555-123-4567" + "番号".encode() * 50) == [b"555-123-4567"]
+    # a number wherever a part of a long stretch ends
+    for n in range(55, 75):
+        x = b" ".join([b"7"] * n + [b"tel", b"(555)", b"123-4567", b"and"] + [b"word"] * 9)
+        assert b"(555) 123-4567" in spans(x), n
+
+
 def test_semi_markov_decoding_is_optimal():
     model, tokens = pii.trained(), [b"tel", b"+1", b"(555)", b"123-4567", b"a@b.org"]
     spans, best = model.scores(tokens), None
