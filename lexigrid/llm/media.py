@@ -456,9 +456,12 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _decoded(batches, limit: int = 1 << 21):
+    """Slices of batches with their streams, decoded; the samples of a slice are bounded unless one stream has more."""
     for batch in batches:
         media = batch.column(batch.schema.get_field_index("media"))
-        sizes, at = pc.fill_null(pc.binary_length(media), 0).to_pylist(), 0
+        # the first metadata block ends its line of rate, channels and depth with 36 bits of the number of samples
+        sizes = [int.from_bytes(head or b"", "big") & (1 << 36) - 1 for head in pc.binary_slice(media, 18, 26).to_pylist()]
+        at = 0
         while at < len(sizes):
             end, total = at, 0
             while end < len(sizes) and (end == at or total + sizes[end] <= limit):
