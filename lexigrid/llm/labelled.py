@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -12,18 +13,23 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class documents of each class outside the held-out fold.
+def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) of at most per_class documents of each class outside the held-out fold, whole texts.
 
     The documents are those of the smallest hashes of their ids, so the choice depends on
-    neither order nor partitions; of each the first max_chars characters are taken, which
-    bounds what comes to the driver.
+    neither order nor partitions.  Of each class they are taken in that order as long as
+    their texts together have no more than max_bytes, which bounds what comes to the driver;
+    a text for which there is no room is left out and not cut.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out("doc_id", folds, fold))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out("doc_id", folds, fold)).distinct()
     order = F.xxhash64("doc_id", F.lit(label))
     picked = known.where("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("y = 1").orderBy(order, "doc_id").limit(per_class))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted({(r.doc_id, r.text or "", r.y) for r in rows}, key=lambda r: (hash_of(r[0]), r))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(picked), "doc_id").withColumn("size", F.octet_length("text")).where(F.col("size") <= max_bytes).dropDuplicates(["doc_id", "y", "text"])
+    # a window over the few picked documents of a class
+    room = W.partitionBy("y").orderBy(order, "doc_id", "text").rowsBetween(W.unboundedPreceding, 0)
+    rows = texts.withColumn("sum", F.sum("size").over(room)).where(F.col("sum") <= max_bytes).select("doc_id", "text", "y").collect()
+    rows = sorted({(r.doc_id, r.text, r.y) for r in rows}, key=lambda r: (hash_of(r[0]), r))
     return [(text, y) for _, text, y in rows]
 
 

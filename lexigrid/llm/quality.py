@@ -11,6 +11,8 @@ is constant; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 from .labelled import calibrate, held_out, sample, sigmoid
 from .textkit import chunks
 
-#: Labelled documents of each class that are read at most, and characters of each.
+#: Labelled documents of each class that are read at most, and bytes of their whole texts together.
 PER_CLASS = 1500
-MAX_CHARS = 6000
+MAX_BYTES = 8 << 20
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 #: Texts are compressed in blocks, so that long ones depend on the dictionaries as short ones do.
@@ -60,12 +62,19 @@ class Model:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
+    """A trained dictionary; where there is too little to train on, blocks of the texts in the order of a
+    checksum, as many as a dictionary holds."""
     pieces = [t[a : a + BLOCK] for t in texts for a in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL, k=200, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-DICTIONARY_BYTES:] or b"\n" * 8
+        size, kept = 0, []
+        for piece in sorted(pieces, key=zlib.crc32):
+            size += len(piece)
+            if size > DICTIONARY_BYTES:
+                break
+            kept.append(piece)
+        return b"".join(kept) or b"\n" * 8
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -94,6 +103,6 @@ def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labels outside the held-out fold and score every document."""
-    model = fit(sample(documents, labels, "quality", FOLDS, FOLD, PER_CLASS, MAX_CHARS))
+    model = fit(sample(documents, labels, "quality", FOLDS, FOLD, PER_CLASS, MAX_BYTES))
     scored = score_quality(documents, model)
     return scored.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", "predicted")

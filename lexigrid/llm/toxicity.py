@@ -25,9 +25,9 @@ from .textkit import LOWER, chunks, ragged
 
 WINDOW, STRIDE = 32, 24
 WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 15, 1 << 13, 8, 8
-#: Labelled documents of each class that are read at most, and characters of each.
+#: Labelled documents of each class that are read at most, and bytes of their whole texts together.
 PER_CLASS = 1200
-MAX_CHARS = 8000
+MAX_BYTES = 6 << 20
 #: Steps on any windows, then steps on texts' worst windows, which are chosen anew after every so many.
 STEPS, WORST_STEPS, CHOOSE = 200, 250, 50
 BATCH = 256
@@ -266,7 +266,7 @@ def drop_toxic(df: DataFrame, net: Network, text_col: str = "text", threshold: f
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Network:
-    return fit(sample(documents, labels, "toxic", FOLDS, FOLD, PER_CLASS, MAX_CHARS))
+    return fit(sample(documents, labels, "toxic", FOLDS, FOLD, PER_CLASS, MAX_BYTES))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
