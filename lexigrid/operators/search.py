@@ -83,36 +83,72 @@ def words_beyond(words: np.ndarray, depth: int) -> np.ndarray:
     return np.array([False, *(a != b for a, b in zip(at[1:], at[:-1]))])
 
 
-def fuzzy_search(words: DataFrame, queries: list[tuple[int, str, int]], model: str | CostModel = "english", plan: str = "trie", prune: bool = True) -> DataFrame:
+def fuzzy_search(words: DataFrame, queries: list[tuple[int, str, int]], model: str | CostModel = "english", plan: str = "trie", prune: bool = True, bounds: dict[int, float] | None = None) -> DataFrame:
     """query_id, rank, distance, word for a bounded list of (query_id, query, n).
 
-    ``plan`` is ``brute`` or ``trie``.  n below 1 gives no rows, n beyond the dictionary all of it; null words are skipped.
+    ``plan`` is ``brute`` or ``trie``; ``bounds`` are distances that no word of a query's result exceeds.
+    n below 1 gives no rows, n beyond the dictionary all of it; null words are skipped.
     """
     costs = preset(model) if isinstance(model, str) else model
     wanted = [q for q in queries if q[2] > 0]
     spark = words.sparkSession
     if not wanted:
         return spark.createDataFrame([], "query_id long, rank int, distance double, word string")
+    bounds = bounds or {}
 
     def nearest(batches):
         best = {}
         for block in _blocks(batches):
             for query_id, query, n in wanted:
                 known = best.get(query_id)
-                bound = known["distance"].iloc[-1] if prune and known is not None and len(known) == n else np.inf
+                bound = bounds.get(query_id, np.inf)
+                if prune and known is not None and len(known) == n:
+                    bound = min(bound, known["distance"].iloc[-1])
                 if plan == "trie":
                     found, far, _, _ = prefix_distances(block, query, costs, bound)
                 else:
                     found, far = np.array(block, dtype=object), distances(block, query, costs)
                 part = _best(found, far, n)
                 best[query_id] = part if known is None else _best(*(pd.concat([known, part])[c].to_numpy() for c in ("word", "distance")), n)
+        limits = {q: n for q, _, n in wanted}
         for query_id, part in best.items():
-            yield part.assign(query_id=query_id)[["query_id", "distance", "word"]]
+            yield part.assign(query_id=query_id, n=limits[query_id])[["query_id", "n", "distance", "word"]]
 
-    partial = words.select("word").mapInPandas(nearest, "query_id long, distance double, word string")
-    limits = F.create_map(*(F.lit(x) for q in wanted for x in (q[0], q[2])))
+    partial = words.select("word").mapInPandas(nearest, "query_id long, n long, distance double, word string")
     ranked = partial.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "word")).cast("int"))
-    return ranked.where(F.col("rank") <= limits[F.col("query_id").cast("int")]).select("query_id", "rank", F.round("distance", 6).alias("distance"), "word")
+    return ranked.where("rank <= n").select("query_id", "rank", F.round("distance", 6).alias("distance"), "word")
+
+
+def fuzzy_join(words: DataFrame, queries: DataFrame, model: str | CostModel = "english", plan: str = "trie", most: int = 1000) -> DataFrame:
+    """query_id, rank, distance, word for a table of (query_id, query, n): a stated set of queries against all
+    words, in blocks of about ``most`` queries; rows with a null are skipped."""
+    wanted = queries.select(F.col("query_id").cast("long"), "query", F.col("n").cast("int")).dropna().distinct()
+    blocks = wanted.count() // most + 1
+    out = fuzzy_search(words, [], model, plan)
+    for b in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)) == b).collect()
+        out = out.unionByName(fuzzy_search(words, [tuple(r) for r in rows], model, plan)) if rows else out
+    return out
+
+
+def compare_ranked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """query_id, rank, same_word, same_distance of two results, by place; a place that one lacks differs."""
+    a = left.select("query_id", "rank", F.col("word").alias("wa"), F.col("distance").alias("da"))
+    b = right.select("query_id", "rank", F.col("word").alias("wb"), F.col("distance").alias("db"))
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    return a.join(b, ["query_id", "rank"], "full").select("query_id", "rank", same("wa", "wb").alias("same_word"), same("da", "db").alias("same_distance"))
+
+
+def search_counts(words: DataFrame, queries: list[tuple[int, str, int]], model: CostModel, bounds: dict[int, float]) -> DataFrame:
+    """query_id, num_nodes, visited_nodes, skipped_nodes, summed over the blocks of words (a prefix counts in each that has it)."""
+
+    def count(batches):
+        for block in _blocks(batches):
+            rows = [(q, *prefix_distances(block, query, model, bounds.get(q, np.inf))[2:]) for q, query, _ in queries]
+            yield pd.DataFrame(rows, columns=["query_id", "visited_nodes", "num_nodes"])
+
+    seen = words.select("word").mapInPandas(count, "query_id long, visited_nodes long, num_nodes long")
+    return seen.groupBy("query_id").agg(F.sum("num_nodes").alias("num_nodes"), F.sum("visited_nodes").alias("visited_nodes"), F.sum(F.col("num_nodes") - F.col("visited_nodes")).alias("skipped_nodes"))
 
 
 def word_costs(words: DataFrame, model: str | CostModel = "english") -> DataFrame:

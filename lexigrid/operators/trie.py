@@ -1,10 +1,12 @@
-"""The prefix tree as a table: one row per distinct prefix, built by one shuffle on it."""
+"""The prefix tree as a table: one row per distinct prefix, built by one shuffle on it.
+
+``index.WordIndex`` builds the same nodes from sorted words, numbers them and keeps them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def nodes(words: DataFrame) -> DataFrame:
@@ -15,28 +17,6 @@ def nodes(words: DataFrame) -> DataFrame:
     return grouped.select("prefix", depth.alias("depth"), F.expr("right(prefix, 1)").alias("ch"), F.when(depth > 0, F.expr("left(prefix, length(prefix) - 1)")).alias("parent"), "is_word")
 
 
-def numbered(words: DataFrame) -> DataFrame:
-    """nodes with node_id in breadth-first order: ranks inside a (depth, first letter) group plus the groups' sizes."""
-    base = nodes(words).withColumn("__first", F.expr("left(prefix, 1)"))
-    groups = base.groupBy("depth", "__first").count()
-    groups = groups.withColumn("__before", F.sum("count").over(W.orderBy("depth", "__first")) - F.col("count")).drop("count")
-    rank = F.row_number().over(W.partitionBy("depth", "__first").orderBy("prefix")) - 1
-    return base.withColumn("__rank", rank).join(F.broadcast(groups), ["depth", "__first"]).select((F.col("__rank") + F.col("__before")).alias("node_id"), "prefix", "depth", "ch", "parent", "is_word")
-
-
-def child_ranges(words: DataFrame) -> DataFrame:
-    """node_id, child_begin, child_end: children are neighbours in breadth-first order."""
-    n = numbered(words)
-    spans = n.where("parent is not null").groupBy(F.col("parent").alias("prefix")).agg(F.min("node_id").alias("child_begin"), (F.max("node_id") + 1).alias("child_end"))
-    return n.join(spans, "prefix").select("node_id", "child_begin", "child_end")
-
-
-def descendants(words: DataFrame) -> DataFrame:
-    """prefix, n_descendants: nodes below each node."""
-    up = nodes(words).select(F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("d"), "prefix", "depth").select(F.expr("left(prefix, d)").alias("prefix"), (F.col("d") < F.col("depth")).cast("long").alias("below"))
-    return up.groupBy("prefix").agg(F.sum("below").alias("n_descendants"))
-
-
 def words_in(words: DataFrame) -> DataFrame:
     """All words, read back from the nodes."""
     return nodes(words).where("is_word").select(F.col("prefix").alias("word"))

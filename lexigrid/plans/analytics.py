@@ -25,6 +25,12 @@ _SEQUENTIAL = "('naive_sequential', 'accelerated_seq_vt')"
 
 REPORTS = {
     "bench_mean": "SELECT dataset, threads, impl, test, metric, words, round(avg(value), 6) AS mean_value FROM m GROUP BY dataset, threads, impl, test, metric, words",
+    "bench_mean_by_type": "SELECT dataset, threads, impl, test, type, metric, words, round(avg(value), 6) AS mean_value FROM m GROUP BY dataset, threads, impl, test, type, metric, words",
+    "bench_mean_by_n": "SELECT dataset, words, threads, n, impl, type, metric, round(avg(value), 6) AS mean_value FROM m GROUP BY dataset, words, threads, n, impl, type, metric",
+    "bench_labels": "SELECT DISTINCT dataset, impl, threads, concat(impl, ' on ', dataset, ', ', CAST(threads AS VARCHAR(10)), CASE WHEN threads = 1 THEN ' thread' ELSE ' threads' END) AS label FROM m",
+    "bench_next_powers": "SELECT DISTINCT query_size, CAST(CASE WHEN query_size <= 1 THEN 1 ELSE pow(2, length(bin(query_size - 1))) END AS BIGINT) AS next_power FROM m",
+    "bench_repeats": "SELECT impl, count(DISTINCT iteration) AS n_runs, round(avg(run_mean), 6) AS mean_value FROM (SELECT impl, iteration, avg(value) AS run_mean FROM m WHERE metric = 'total' GROUP BY impl, iteration) r GROUP BY impl",
+    "bench_sorted_words": "SELECT dataset, words, CAST(row_number() OVER (PARTITION BY dataset ORDER BY words) AS INT) AS place FROM (SELECT DISTINCT dataset, words FROM m) d ORDER BY dataset, words",
     "bench_std": "SELECT dataset, words, threads, n, impl, query_idx, query_type, metric, round(avg(value), 6) AS mean_value, round(stddev_pop(value), 6) AS std_value FROM m GROUP BY dataset, words, threads, n, impl, query_idx, query_type, metric",
     "bench_speedup": """SELECT a.dataset, a.threads, a.impl, round(b.base / a.mean_value, 6) AS speedup
         FROM (SELECT dataset, threads, impl, avg(value) AS mean_value FROM m WHERE metric = 'total' GROUP BY dataset, threads, impl) a
@@ -59,3 +65,23 @@ REPORTS = {
 
 def report_sql(name: str) -> str:
     return f"WITH m AS ({MEASUREMENTS}) {REPORTS[name]}"
+
+#: Fixed values of a benchmark: results asked for, the usual one, slices of the dictionary.
+NS, USUAL_N, SLICES = (1, 2, 3, 5, 10, 20, 50, 100, 1000), 10, 8
+
+
+def run_matrix(spark, cores: int = 8):
+    """slice, threads, n of the runs that are worth making: all numbers of threads only with the whole dictionary,
+    odd ones only up to half the cores, other n than the usual one only with the whole dictionary."""
+    from pyspark.sql import functions as F
+
+    runs = spark.range(SLICES).select(F.col("id").cast("int").alias("slice"))
+    runs = runs.select("slice", F.explode(F.sequence(F.lit(1), F.lit(cores))).alias("threads"))
+    runs = runs.select("*", F.explode(F.array(*map(F.lit, NS))).alias("n"))
+    whole = F.col("slice") == SLICES - 1
+    return runs.where((whole | (F.col("threads") == cores)) & ((F.col("threads") <= cores / 2) | (F.col("threads") % 2 == 0)) & (whole | (F.col("n") == USUAL_N)))
+
+
+RUN_MATRIX_SQL = f"""SELECT CAST(s AS INT) AS slice, CAST(t AS INT) AS threads, n FROM (SELECT unnest(range(0, {SLICES})) AS s) a
+  CROSS JOIN (SELECT unnest(range(1, 9)) AS t) b CROSS JOIN (SELECT unnest([{', '.join(map(str, NS))}]) AS n) c
+  WHERE (s = {SLICES - 1} OR (t = 8 AND n = {USUAL_N})) AND (t <= 4 OR t % 2 = 0)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs
 from ..operators import metrics, search, trie
+from ..operators.index import WordIndex, index_of
 from ..sources import words as sources
 from . import analytics
 
@@ -23,14 +24,23 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.words_of(_docs(spark, sf_dir))
 
 
+def index(spark: SparkSession, sf_dir: str) -> WordIndex:
+    """The stored index of the documents' words, built once per application."""
+    return index_of(dictionary(spark, sf_dir), sf_dir)
+
+
 def _search(queries, **options):
-    return lambda spark, sf_dir: search.fuzzy_search(dictionary(spark, sf_dir), queries, **options)
+    return lambda spark, sf_dir: index(spark, sf_dir).search(queries, **options)
 
 
 def _over_words(operator):
     return lambda spark, sf_dir: operator(dictionary(spark, sf_dir))
 
 
+def _over_nodes(operator):
+    return lambda spark, sf_dir: operator(index(spark, sf_dir).nodes())
+
+
 def _report(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
@@ -59,17 +69,29 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = dictionary(spark, sf_dir).select("word", F.md5("word").alias("h")).orderBy(F.desc("h"), F.desc("word")).limit(50)
-    from pyspark.sql import Window as W
+    return sources.hold_out(dictionary(spark, sf_dir))[0]
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.hold_out(dictionary(spark, sf_dir))[1]
+
+
+def _table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The misspelt queries as a table, with ids beyond 32 bits."""
+    queries = spark.createDataFrame([(q + 2**40, query, n) for q, query, n in BATCH], "query_id long, query string, n int")
+    return search.fuzzy_join(index(spark, sf_dir).words, queries)
+
 
-    place = F.row_number().over(W.orderBy(F.desc("h"), F.desc("word")))
-    return known.select("word", F.when(place <= 25, "erased").otherwise("existing").alias("query_type"))
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = index(spark, sf_dir)
+    return search.compare_ranked(own.search(BATCH, plan="brute"), own.search(BATCH))
 
 
 def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = dictionary(spark, sf_dir)
+    known = index(spark, sf_dir).nodes().where("is_word").select(F.col("prefix").alias("word"))
     probes = known.unionByName(known.select(F.concat("word", F.lit("zq")).alias("word"))).distinct()
-    return trie.members(known, probes).groupBy("found").agg(F.count("*").alias("n_words"))
+    found = probes.join(known.withColumn("hit", F.lit(True)), "word", "left").select(F.coalesce("hit", F.lit(False)).alias("found"))
+    return found.groupBy("found").agg(F.count("*").alias("n_words"))
 
 
 def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,19 +112,29 @@ QUERIES = {
     "dictionary_partitions": _parts,
     "query_sets": _query_sets,
     "random_queries": lambda spark, sf_dir: sources.random_queries(spark, 25),
-    "trie_nodes": _over_words(trie.numbered),
-    "trie_node_count": _over_words(lambda w: trie.nodes(w).agg(F.count("*").alias("n_nodes"))),
-    "trie_depth_histogram": _over_words(lambda w: trie.nodes(w).groupBy("depth").agg(F.count("*").alias("n_nodes"))),
-    "trie_child_ranges": _over_words(trie.child_ranges),
-    "trie_descendants": _over_words(trie.descendants),
-    "trie_words": _over_words(trie.words_in),
+    "fuzzy_topk_table": _table_search,
+    "result_comparison": _compared,
+    "search_counts": lambda spark, sf_dir: index(spark, sf_dir).search_counts(BATCH),
+    "dictionary_without_erased": _held_out,
+    "trie_nodes": _over_nodes(lambda n: n.select("node_id", "prefix", "depth", "ch", "parent", "is_word")),
+    "trie_parents": _over_nodes(lambda n: n.select("node_id", "parent_id")),
+    "trie_node_count": _over_nodes(lambda n: n.agg(F.count("*").alias("n_nodes"))),
+    "trie_depth_histogram": _over_nodes(lambda n: n.groupBy("depth").agg(F.count("*").alias("n_nodes"))),
+    "trie_childless": _over_nodes(lambda n: n.join(n.select(F.col("parent_id").alias("node_id")).where("node_id is not null"), "node_id", "left_anti").select("node_id", "prefix")),
+    "trie_child_ranges": lambda spark, sf_dir: index(spark, sf_dir).child_ranges(),
+    "trie_descendants": lambda spark, sf_dir: index(spark, sf_dir).descendants(),
+    "trie_words": _over_nodes(lambda n: n.where("is_word").select(F.col("prefix").alias("word"))),
+    "trie_prefixes_by_shuffle": _over_words(lambda w: trie.nodes(w).select("prefix", "is_word")),
     "trie_membership": _membership,
+    "dictionary_sorted": lambda spark, sf_dir: index(spark, sf_dir).words.orderBy("word"),
+    "document_bytes": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")),
     "keyboard_distances": _keys,
     "keyboard_histogram": lambda spark, sf_dir: _keys(spark, sf_dir).groupBy("dist").agg(F.count("*").alias("n_pairs")),
     "keyboard_average": lambda spark, sf_dir: _keys(spark, sf_dir).agg(F.round(F.avg("dist"), 6).alias("mean_dist"), F.max("dist").alias("most")),
     "keyboard_linear": _scaled("2 - 2 * dist / 9"),
     "keyboard_neighbors": _scaled("CASE WHEN dist = 1 THEN 2.0D ELSE 1.0D END"),
-    "bench_lowess": lambda spark, sf_dir: metrics.lowess(_report("bench_two_metrics")(spark, sf_dir).where("total is not null"), "impl", "query_size", "total"),
+    "run_matrix": lambda spark, sf_dir: analytics.run_matrix(spark),
+    "bench_lowess": lambda spark, sf_dir: metrics.lowess(_report("bench_two_metrics")(spark, sf_dir).where("total is not null"), "impl", "query_size", "total").select("impl", "x", F.round("smooth", 6).alias("smooth")),
     **{name: _report(name) for name in analytics.REPORTS},
 }
 
@@ -142,6 +174,15 @@ def _keys_sql(select: str) -> str:
 
 
 _SCALED = "SELECT from_ch, to_ch, round(v / avg(v) OVER (), 6) AS weight FROM (SELECT from_ch, to_ch, {v} AS v FROM k) x"
+_SETS = "r AS (SELECT word, row_number() OVER (ORDER BY md5(word) DESC, word DESC) AS place FROM w)"
+_RANDOM = "SELECT query_id, string_agg(chr(CAST(97 + (ascii(substr(h, 1, 1)) * 7 + ascii(substr(h, 2, 1)) * 3 + ascii(substr(h, 3, 1))) % 26 AS INT)), '' ORDER BY i) AS query FROM (SELECT query_id, i, md5('1:' || query_id || ':' || i) AS h FROM (SELECT query_id, unnest(range(1, (query_id + 1) * 4 + 1)) AS i FROM (SELECT unnest(range(0, 25)) AS query_id) a) b) c GROUP BY query_id"
+_LOWESS = f"""WITH t AS ({analytics.report_sql("bench_two_metrics")}), p AS (SELECT impl, CAST(query_size AS DOUBLE) AS x, avg(total) AS y FROM t WHERE total IS NOT NULL GROUP BY 1, 2),
+  q AS (SELECT a.impl, a.x AS x0, b.x, b.y, abs(b.x - a.x) AS d FROM p a JOIN p b ON a.impl = b.impl),
+  k AS (SELECT impl, x0, list_sort(list(d))[CAST(greatest(2, least(count(*), ceil(count(*) * (2::DOUBLE / 3)))) AS INT)] AS far FROM q GROUP BY impl, x0),
+  w AS (SELECT q.*, pow(greatest(1 - pow(d / greatest(far, 1e-12), 3), 0), 3) + 1e-12 AS w FROM q JOIN k ON k.impl = q.impl AND k.x0 = q.x0),
+  c AS (SELECT impl, x0, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY impl, x0),
+  s AS (SELECT w.impl, w.x0, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (y - my)) / sum(w) AS xy, sum(w * (x - mx) * (x - mx)) / sum(w) AS xx FROM w JOIN c ON c.impl = w.impl AND c.x0 = w.x0 GROUP BY w.impl, w.x0)
+  SELECT impl, x0 AS x, round(my + xy / greatest(xx, 1e-12) * (x0 - mx), 6) AS smooth FROM s"""
 _ENGLISH = _search_sql(QUERY)
 ORACLE_SQL = {
     "fuzzy_topk": _ENGLISH,
@@ -155,7 +196,18 @@ ORACLE_SQL = {
     "word_costs": _costs_sql(),
     "dictionary_distinct": f"WITH {_WORDS} SELECT word FROM w",
     "dictionary_partitions": f"WITH {_WORDS}, r AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS place, count(*) OVER () AS total FROM w) SELECT CAST(floor(place / ceil(total / 8)) AS INT) AS part, count(*) AS n_words, min(word) AS first_word, max(word) AS last_word FROM r GROUP BY 1",
-    "query_sets": f"WITH {_WORDS}, r AS (SELECT word, row_number() OVER (ORDER BY md5(word) DESC, word DESC) AS place FROM w) SELECT word, CASE WHEN place <= 25 THEN 'erased' ELSE 'existing' END AS query_type FROM r WHERE place <= 50",
+    "query_sets": f"WITH {_WORDS}, {_SETS} SELECT word, CASE WHEN place <= 25 THEN 'erased' ELSE 'existing' END AS query_type FROM r WHERE place <= 50",
+    "dictionary_without_erased": f"WITH {_WORDS}, {_SETS} SELECT word FROM r WHERE place > 25",
+    "fuzzy_topk_table": f"SELECT query_id + 1099511627776 AS query_id, rank, distance, word FROM ({_search_sql(BATCH)}) b",
+    "result_comparison": f"SELECT query_id, rank, true AS same_word, true AS same_distance FROM ({_search_sql(BATCH)}) b",
+    "run_matrix": analytics.RUN_MATRIX_SQL,
+    "bench_lowess": _LOWESS,
+    "random_queries": _RANDOM,
+    "trie_parents": f"WITH {_NUMBERED} SELECT c.node_id, p.node_id AS parent_id FROM g c LEFT JOIN g p ON c.parent = p.prefix",
+    "trie_childless": f"WITH {_NUMBERED} SELECT node_id, prefix FROM g WHERE prefix NOT IN (SELECT parent FROM g WHERE parent IS NOT NULL)",
+    "trie_prefixes_by_shuffle": f"WITH {_NODES} SELECT prefix, is_word FROM t",
+    "dictionary_sorted": f"WITH {_WORDS} SELECT word FROM w ORDER BY word",
+    "document_bytes": "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents",
     "trie_nodes": f"WITH {_NUMBERED} SELECT node_id, prefix, depth, ch, parent, is_word FROM g",
     "trie_node_count": f"WITH {_NODES} SELECT count(*) AS n_nodes FROM t",
     "trie_depth_histogram": f"WITH {_NODES} SELECT CAST(length(prefix) AS INT) AS depth, count(*) AS n_nodes FROM t GROUP BY 1",

@@ -7,16 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.search import fuzzy_search
+from ..operators.search import fuzzy_join
 
 
 def answer_stream(queries: DataFrame, words: DataFrame, sink: Callable[[DataFrame, int], None], model: str = "english", most: int = 1000, **writer) -> StreamingQuery:
-    """Answer every micro-batch of (query_id, query, n); at most ``most`` queries are searched at a time."""
+    """Answer every micro-batch of (query_id, query, n) with one call of the sink; queries go to the tasks in blocks of about ``most``."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = [(r.query_id, r.query, r.n) for r in batch.toLocalIterator()]
-        for a in range(0, len(rows), most):
-            sink(fuzzy_search(words, rows[a : a + most], model), number)
+        sink(fuzzy_join(words, batch, model, most=most), number)
 
     stream = queries.writeStream.foreachBatch(each)
     for key, value in writer.items():

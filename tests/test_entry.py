@@ -36,9 +36,37 @@ def test_contract(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert registry.QUERIES["random_queries"](spark, DATA).collect()[1].query.islower()
-    assert registry.QUERIES["bench_lowess"](spark, DATA).count() > 0
+    assert registry.QUERIES["search_counts"](spark, DATA).where("visited_nodes + skipped_nodes = num_nodes and skipped_nodes > 0").count() == 4
 
 
 def test_no_product_over_rows(spark):
     plan = registry.QUERIES["fuzzy_topk"](spark, DATA)._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "ReadSchema: struct<text:string>" in plan
+    assert "CartesianProduct" not in plan and "ReadSchema: struct<word:string>" in plan
+    plan = registry.QUERIES["dictionary_distinct"](spark, DATA)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<text:string>" in plan
+
+
+def test_index_is_kept_between_queries(spark):
+    assert registry.index(spark, DATA) is registry.index(spark, DATA)
+
+
+def test_reports_go_on_after_a_failure(spark, tmp_path, monkeypatch):
+    from lexigrid.plans import runs
+
+    monkeypatch.setitem(runs.REPORTS, "broken", "SELECT nothing FROM m")
+    path, failed = runs.write_reports(spark, DATA, str(tmp_path), ["broken", "bench_counts"])
+    assert len(failed) == 1 and failed[0].startswith("broken") and spark.read.parquet(f"{path}/bench_counts").count() == 1
+    assert "broken" in spark.read.text(f"{path}/sql").first().value
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexigrid import __main__ as command
+
+    (tmp_path / "w.txt").write_text("house mouse\nmoose\n")
+    assert command.arguments([str(tmp_path), "q"]).n == 10
+    for wrong in ([str(tmp_path)], [str(tmp_path), "q", "--lang", "fr"]):
+        with pytest.raises(SystemExit):
+            command.arguments(wrong)
+    assert command.main([str(tmp_path / "w.txt"), "hause", "-n", "1", "--lang", "en", "--repeat", "2"]) == 0
+    said = capsys.readouterr().out
+    assert "house" in said and "query:" in said and "build/sort:" in said

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 
 from lexigrid.functions.costs import key_distances, preset
 from lexigrid.functions.distance import distances
-from lexigrid.operators.search import fuzzy_search, prefix_distances
+from lexigrid.operators.index import WordIndex
+from lexigrid.operators.search import compare_ranked, fuzzy_join, fuzzy_search, prefix_distances
 
 #: Published distances to "alforuhm" under the English model.
 GOLDEN = {"algorithm": 0.567, "algorism": 0.817, "aurorium": 0.867, "algorithms": 0.952, "alburnum": 0.978, "allodium": 1.089, "aphorism": 1.089, "deltidium": 1.128, "alsifilm": 1.139, "ealdormen": 1.139}
@@ -64,6 +65,28 @@ def test_search_edge_cases(spark):
     assert fuzzy_search(words.limit(0), [(0, "a", 3)]).count() == 0
 
 
+def test_table_of_queries_and_comparison(spark):
+    words = spark.createDataFrame([("house",), ("mouse",), ("moose",)], "word string")
+    queries = spark.createDataFrame([(2**40, "hause", 2), (1, "mose", 1), (3, None, 1), (4, "x", 0), (5, "q", None)], "query_id long, query string, n int")
+    rows = fuzzy_join(words, queries, most=1)
+    got = {(r.query_id, r.rank, r.word) for r in rows.collect()}
+    assert {(q, n) for q, n, _ in got} == {(2**40, 1), (2**40, 2), (1, 1)} and (2**40, 1, "house") in got
+    compared = {(r.query_id, r.rank): (r.same_word, r.same_distance) for r in compare_ranked(rows, rows.where("rank = 1").replace("house", "mouse", "word")).collect()}
+    assert compared == {(2**40, 1): (False, True), (2**40, 2): (False, False), (1, 1): (True, True)}
+
+
+def test_index_prunes_and_agrees(spark):
+    import random
+
+    r = random.Random(4)
+    words = spark.createDataFrame([("".join(r.choice("abcde") for _ in range(r.randint(1, 8))),) for _ in range(3000)], "word string").distinct()
+    index, queries = WordIndex.build(words), [(0, "abcde", 5), (1, "eeaab", 40)]
+    want = sorted(fuzzy_search(words, queries, plan="brute").collect())
+    assert sorted(index.search(queries).collect()) == want == sorted(index.search(queries, prune=False).collect())
+    few, every = (sum(x.visited_nodes for x in index.search_counts(queries, prune=p).collect()) for p in (True, False))
+    assert few < every / 2
+
+
 def test_unknown_model():
     with pytest.raises(ValueError):
         preset("klingon")
