@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words
 from .labelled import calibrate, held_out, sample, sigmoid
-from .textkit import LOWER, chunks, ragged
+from .textkit import CHUNK_BYTES, LOWER, chunks, ragged
 
 WINDOW, STRIDE = 32, 24
 WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 15, 1 << 13, 8, 8
 #: Labelled documents of each class that are read at most, and bytes of their whole texts together.
 PER_CLASS = 1200
-MAX_BYTES = 6 << 20
+MAX_BYTES = 4 << 20
 #: Steps on any windows, then steps on texts' worst windows, which are chosen anew after every so many.
 STEPS, WORST_STEPS, CHOOSE = 200, 250, 50
 BATCH = 256
@@ -39,18 +39,25 @@ FOLDS, FOLD = 3, 1
 
 def inputs(data: np.ndarray, offsets: np.ndarray):
     """Word buckets and their trigrams: word index of each position, distinct words' buckets, trigram ids and their ends, text bounds."""
-    hashes, starts, ends, bounds = words(data, offsets)
+    parts, at = [], 0
+    while at < len(offsets) - 1:  # whole texts, so that the arrays beside the bytes stay small
+        end = min(max(int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1, at + 1), len(offsets) - 1)
+        hashes, starts, ends, bounds = words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        parts.append((hashes, starts + offsets[at], ends + offsets[at], np.diff(bounds)))
+        at = end
+    hashes, starts, ends, counts = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
     which, distinct = pd.factorize(hashes)
     first = np.empty(len(distinct), np.int64)
     first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    low = LOWER[data].astype(np.int64)
-    before, after = np.empty_like(low), np.empty_like(low)
-    before[1:], after[:-1] = low[:-1], low[1:]
-    before[starts], after[ends - 1] = 256, 257
-    tri = ((before * 65_599 + low * 31 + after) * 2_654_435_761 >> 9) & (TRIGRAMS - 1)
     sizes = (ends - starts)[first]
-    grams = tri[np.repeat(starts[first], sizes) + ragged(sizes)]
-    return which, (distinct & np.uint64(WORDS - 1)).astype(np.int64), grams, sizes, bounds
+    inside = ragged(sizes)
+    at = np.repeat(starts[first], sizes) + inside
+    low = LOWER[data[at]].astype(np.int64)
+    before = np.where(inside > 0, np.roll(low, 1), 256)
+    after = np.where(inside < np.repeat(sizes, sizes) - 1, np.roll(low, -1), 257)
+    grams = ((before * 65_599 + low * 31 + after) * 2_654_435_761 >> 9) & (TRIGRAMS - 1)
+    return which, (distinct.astype(np.uint64) & np.uint64(WORDS - 1)).astype(np.int64), grams, sizes, bounds
 
 
 def window_starts(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
