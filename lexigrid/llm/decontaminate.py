@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, RollingHash, chunks, mix, ragged
+from .textkit import LOWER, RollingHash, chunks, map_batches, mix, ragged
 
 SHARE = 0.2
 MIN_WORDS = 8
@@ -322,7 +322,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 )
 
         if block.ids or block.short:
-            out = out.unionByName(docs.mapInArrow(run, schema))
+            out = out.unionByName(map_batches(docs, run, schema))
     return out
 
 

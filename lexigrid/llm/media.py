@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import chunks
+from .textkit import chunks, map_batches
 
 BLOCK = 512
 #: A seek point stands before every so many frames.
@@ -452,7 +452,7 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             media = encode_payloads([payload(raw[a:b]) for a, b in zip(at, at[1:])])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def _decoded(batches, limit: int = 1 << 21):
@@ -484,7 +484,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                     pcm.append(samples[at : at + n].astype(np.int8).tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sample_offset": pa.array(first, pa.int64()), "pcm": pa.array(pcm, pa.binary())})
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+    return map_batches(media.select("doc_id", "media"), run, "doc_id long, sample_offset long, pcm binary")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -504,4 +504,4 @@ def media_digest(media: DataFrame) -> DataFrame:
                 out["feature"].append(f"blocks={len(blocks)};sum={int(samples.sum())};energy={int((samples * samples).sum())};steps={int(steps)}")
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(v) for v in out.values())], ["doc_id", "n_bytes", *out])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import chunks, discard, materialize, mix, ragged, shingles, whole_groups, word_hashes, word_spans
+from .textkit import chunks, discard, map_batches, materialize, mix, ragged, shingles, whole_groups, word_hashes, word_spans
 
 ROWS, BANDS = 4, 32
 WIDTH = 5
@@ -87,7 +87,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             offsets_ = np.concatenate([[0], np.cumsum(np.where(size > 0, keys.shape[1], 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(offsets_), pa.array(keys[size > 0].ravel()))], ["doc_id", "n", "a", "b", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, bands array<long>")
+    return map_batches(docs, run, "doc_id long, n long, a long, b long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             cut = np.searchsorted(owner, np.arange(len(offsets))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(values.astype(np.int64)))], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    return map_batches(docs, run, "rep long, shingles array<long>")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -184,7 +184,7 @@ def _parities(sets: DataFrame) -> DataFrame:
             bits = pa.array([w.tobytes() for w in words.reshape(len(size), -1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), bits], ["rep", "n", "bits"])
 
-    return sets.select("rep", "shingles").mapInArrow(run, "rep long, n long, bits binary").distinct()
+    return map_batches(sets.select("rep", "shingles"), run, "rep long, n long, bits binary").distinct()
 
 
 def _meetings(open_: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _likely(open_: DataFrame, percent: int, most: int) -> DataFrame:
         for table in whole_groups(batches, "cell", 4 * BLOCK):
             yield _meet(table, percent, most)
 
-    return dealt.mapInArrow(run, "u long, v long, more boolean").where("u <> v")
+    return map_batches(dealt, run, "u long, v long, more boolean").where("u <> v")
 
 
 def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .textkit import chunks, materialize
+from .textkit import chunks, map_batches, materialize
 from .tokens import default_path, encoder
 
 CAPACITY = 1024
@@ -104,7 +104,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = {"doc_tokens": pa.int64(), "crcs": pa.list_(pa.int64()), "rest": pa.int32(), "rest_rank": pa.int64(), "full_before": pa.int64()}
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array([part] * len(n), pa.int32()), *(pa.array(out[k], kind) for k, kind in kinds.items())], ["doc_id", "part", *kinds])
 
-    pieces = materialize(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, "doc_id long, part int, doc_tokens long, crcs array<long>, rest int, rest_rank long, full_before long"), "packing-pieces")
+    pieces = materialize(map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), cut, "doc_id long, part int, doc_tokens long, crcs array<long>, rest int, rest_rank long, full_before long"), "packing-pieces")
     # one row per part and length: ranks before this part; one row per part: full windows before it
     by_length = pieces.groupBy("part", "rest").agg(F.count("*").alias("n"))
     by_length = by_length.withColumn("rank_before", F.sum("n").over(W.partitionBy("rest").orderBy("part")) - F.col("n"))
@@ -146,4 +146,4 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ranked = pieces.join(by_length.select("part", "rest", "rank_before"), ["part", "rest"]).join(by_part.select("part", "full_base"), "part")
     ready = ranked.select("doc_id", "doc_tokens", "crcs", "rest", (F.col("rest_rank") + F.col("rank_before")).alias("rank"), (F.col("full_before") + F.col("full_base")).alias("full"))
-    return ready.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_batches(ready, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .secrets import span_digest, to_code_points
-from .textkit import chunks
+from .textkit import chunks, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"crf_{k}" for k in KINDS)
@@ -337,7 +337,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 spans.append([{"kind": names[k], "start": s, "end": e, "base": k < len(KINDS)} for s, e, k in to_code_points(text, every)])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def personal_data_digest(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import calibrate, held_out, sample, sigmoid
-from .textkit import chunks
+from .textkit import chunks, map_batches
 
 #: Labelled documents of each class that are read at most, and bytes of their whole texts together.
 PER_CLASS = 1500
@@ -98,7 +98,7 @@ def score_quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             score = model.score(np.array([model.feature(raw[a:b]) for a, b in zip(at, at[1:])]))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, predicted int")
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import RollingHash, chunks, discard, materialize, probable_members, ragged
+from .textkit import RollingHash, chunks, discard, map_batches, materialize, probable_members, ragged
 
 DEPTH, GRAM = 200, 48
 #: Kinds of runs up to which a group is sorted in one task.
@@ -114,7 +114,7 @@ def _run_rows(docs: DataFrame) -> DataFrame:
                 ["doc_id", "h", "start", "n", "first", "second"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, h long, start int, n int, first long, second long")
+    return map_batches(docs, run, "doc_id long, h long, start int, n int, first long, second long")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -154,12 +154,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     out["data"].append(raw[at + e["start"] : at + e["start"] + e["n"] + DEPTH - 1])
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))], list(out))
 
-    cuts = materialize(texts.mapInArrow(cut, "doc_id long, h long, start int, n int, first long, alone boolean, hot boolean, data binary"), "repeat-cuts")
+    cuts = materialize(map_batches(texts, cut, "doc_id long, h long, start int, n int, first long, alone boolean, hot boolean, data binary"), "repeat-cuts")
     size = cuts.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first().n
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * SORT_BYTES) + 1)
     dealt = cuts.where("not hot").select("first", "doc_id", "h", "start", "n", "alone", "data").repartition(parts, "first").sortWithinPartitions("first")
-    sorted_ = dealt.mapInArrow(_sort_runs, "doc_id long, h long, start int, end int")
-    hot = cuts.where("hot").mapInArrow(_window_digests, "doc_id long, h long, start int, alone boolean, digest binary")
+    sorted_ = map_batches(dealt, _sort_runs, "doc_id long, h long, start int, end int")
+    hot = map_batches(cuts.where("hot"), _window_digests, "doc_id long, h long, start int, alone boolean, digest binary")
     hot = materialize(hot, "repeat-hot")
     common = hot.groupBy("digest").count().where("count > 1").select("digest")
     hot = hot.where("alone").join(common, "digest", "left_semi").select("doc_id", "h", "start", (F.col("start") + DEPTH).alias("end"))
@@ -263,4 +263,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(count), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if keep_text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] * keep_text)])
 
     clean = probable_members(docs, "h", spans.select("h"), absent=True)
-    return touched.mapInArrow(run, schema).unionByName(clean.mapInArrow(run, schema))
+    return map_batches(touched, run, schema).unionByName(map_batches(clean, run, schema))

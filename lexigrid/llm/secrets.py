@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import anchored, longest, starting
-from .textkit import chunks
+from .textkit import chunks, map_batches
 
 
 _SEPARATED = re.compile(rb"""[^:=]*[:=]\x20*["']?""")
@@ -111,7 +111,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 spans.append([{"kind": rules[k].kind, "start": s, "end": e, "base": rules[k].base} for s, e, k in to_code_points(text, scan(text, rules))])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
 def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -145,7 +145,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
             columns[at] = pa.array(out, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, rows.schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def secrets_digest(df: DataFrame) -> DataFrame:

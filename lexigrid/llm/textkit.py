@@ -8,6 +8,7 @@ number of rows in an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import lru_cache
@@ -36,6 +37,27 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="lexigrid-")
 
 
+#: Rows of a batch that goes to Python, where the session does not set them.
+BATCH_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of few rows, as texts may be long; a session's own number of rows stays."""
+    spark = df.sparkSession
+    if spark.conf.get(_ROWS_KEY) == "10000":  # Spark's default
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def _trim() -> None:
+    """Give memory that is free back to the system: workers are kept, and beside them runs the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -68,6 +90,7 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
             end = min(max(end, at + 1), len(column))
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+    _trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

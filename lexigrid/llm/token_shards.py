@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import chunks, ragged, shared_dir
+from .textkit import chunks, map_batches, ragged, shared_dir
 from .tokens import crc32, default_path, encoder
 
 END_ID = 2
@@ -238,7 +238,7 @@ def write_token_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_co
         if docs:
             yield shard()
 
-    ordered.mapInArrow(build, SHARDS).write.option("compression", "zstd").parquet(path)
+    map_batches(ordered, build, SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -274,7 +274,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                     }
                 )
 
-    return shards.select("part", "seq", "ids_before", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int, row int")
+    return map_batches(shards.select("part", "seq", "ids_before", "payload"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int, row int")
 
 
 def token_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

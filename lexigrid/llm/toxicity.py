@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words
 from .labelled import calibrate, held_out, sample, sigmoid
-from .textkit import CHUNK_BYTES, LOWER, chunks, ragged
+from .textkit import CHUNK_BYTES, LOWER, chunks, map_batches, ragged
 
 WINDOW, STRIDE = 32, 24
 WORDS, TRIGRAMS, EMBED, HIDDEN = 1 << 15, 1 << 13, 8, 8
@@ -257,7 +257,7 @@ def score_toxicity(df: DataFrame, net: Network, id_col: str = "doc_id", text_col
             score = sigmoid(net.slope * net.text_logits(data, offsets) + net.offset)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(df: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -269,7 +269,7 @@ def drop_toxic(df: DataFrame, net: Network, text_col: str = "text", threshold: f
             keep = sigmoid(net.slope * net.text_logits(data, offsets) + net.offset) < threshold
             yield rows.filter(pa.array(keep))
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Network:
