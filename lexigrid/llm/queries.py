@@ -67,7 +67,7 @@ def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import encode_media, media_digest
     from .textkit import materialize
 
-    return media_digest(materialize(encode_media(table(spark, sf_dir, "documents")), "media"))
+    return media_digest(materialize(encode_media(table(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secrets, op3_near_duplicates, op4_decontaminate, op5_personal_data, op6_repeats, op7_toxicity, op8_packing, op9_quality, op10_media_flac)}
