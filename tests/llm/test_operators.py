@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on a small table with the awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -112,20 +113,47 @@ def test_packing(docs, empty):
             end += length
         assert end <= 1024
     for own in places.values():
-        assert sum(n for _, n, _ in own) == own[0][2]
+        at = 0
+        for start, length, _ in sorted(own):
+            assert start == at
+            at += length
+        assert at == own[0][2]
+    assert sum(sum(n for _, n in own) < 1024 for own in windows.values()) <= 1
     assert sorted(windows) == list(range(len(windows))) and packing.pack_documents(empty).count() == 0
 
 
-def test_window_plan_uses_all_lengths():
+@pytest.mark.parametrize("low, high", [(1, 99), (60, 99), (51, 52), (70, 70)])
+def test_window_plan_uses_all_lengths(low, high):
     r = random.Random(2)
-    counts = Counter(r.randint(1, 99) for _ in range(500))
+    counts = Counter(r.randint(low, high) for _ in range(500))
     plan = packing.plan_windows(dict(counts), 100)
-    used = Counter()
-    for chosen, times in plan:
-        assert sum(k * n for k, n in chosen.items()) <= 100
-        for k, n in chosen.items():
-            used[k] += n * times
-    assert used == counts
+    rests = np.array(sorted(counts.elements()))
+    ranks = np.concatenate([np.arange(counts[k]) for k in sorted(counts)])
+    index, start, length, window, offset = packing.Places(dict(counts), plan, 7).pieces(rests, ranks)
+    inside, across = defaultdict(list), defaultdict(list)
+    for i, a, n, w, o in zip(*(x.tolist() for x in (index, start, length, window, offset))):
+        inside[i].append((a, n))
+        across[w].append((o, n))
+
+    def gapless(parts):
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and min(n for _, n in parts) > 0
+        return ends[-1]
+
+    assert [gapless(inside[i]) for i in range(len(rests))] == rests.tolist()
+    assert sorted(across) == list(range(7, 7 + sum(step.times for step in plan)))
+    sums = [gapless(across[w]) for w in sorted(across)]
+    assert max(sums) <= 100 and sorted(sums)[1:] == [100] * (len(sums) - 1)
+
+
+def test_fill_is_closest_to_capacity():
+    r = random.Random(3)
+    for _ in range(200):
+        counts, capacity = {r.randint(1, 30): r.randint(1, 3) for _ in range(4)}, r.randint(20, 90)
+        sums = {sum(k * n for k, n in zip(counts, take)) for take in itertools.product(*(range(n + 1) for n in counts.values()))}
+        chosen = packing.fill(counts, capacity)
+        assert all(n <= counts[k] for k, n in chosen.items())
+        assert sum(k * n for k, n in chosen.items()) == max(x for x in sums if x <= capacity)
     assert packing.fill({60: 1, 45: 2, 10: 1}, 100) == {45: 2, 10: 1}
 
 
