@@ -300,6 +300,8 @@ def _open_frame(stream: bytes, at: int, width: int, which: int) -> _Lane:
     else:
         lane.coefficients = FIXED[lane.order]
     lane.partition_bits = 4 + bits.take(2)
+    if lane.partition_bits > 5:
+        raise ValueError("reserved residual coding")
     lane.partitions = 1 << bits.take(4)
     return lane
 

@@ -515,6 +515,91 @@ def test_flac_streams():
         media.decode_streams([bytes(broken)])
 
 
+def plain_crc(data, bits, poly):
+    c = 0
+    for b in data:
+        c ^= b << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) else 0)) & ((1 << bits) - 1)
+    return c
+
+
+def plain_flac(frames, bits, samples):
+    """A stream of hand-made subframes, as strings of 0 and 1, with (block size, subframe) for each frame."""
+    pcm = b"".join(int(x).to_bytes(bits // 8, "little", signed=True) for x in samples)
+    packed = (8000 << 44 | 0 << 41 | (bits - 1) << 36 | len(samples)).to_bytes(8, "big")
+    out = b"fLaC" + bytes([0x80, 0, 0, 34]) + (256).to_bytes(2, "big") * 2 + bytes(6) + packed + hashlib.md5(pcm).digest()
+    for number, (size, subframe) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x70, 0]) + bytes([number]) + (size - 1).to_bytes(2, "big")
+        head += bytes([plain_crc(head, 8, 0x07)])
+        subframe += "0" * (-len(subframe) % 8)
+        frame = head + int(subframe, 2).to_bytes(len(subframe) // 8, "big")
+        out += frame + plain_crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def signed_bits(x, n):
+    return format(x & ((1 << n) - 1), f"0{n}b") if n else ""
+
+
+def plain_subframe(samples, bits, kind, order, coefficients, shift, precision, parameter_bits, partition_order, parameters, waste=0):
+    """Subframe of a predictor whose partitions have Rice parameters, or None and a width for an escape."""
+    samples, bits = [x >> waste for x in samples], bits - waste
+    out = "0" + format(kind, "06b") + ("1" + "0" * (waste - 1) + "1" if waste else "0")
+    out += "".join(signed_bits(x, bits) for x in samples[:order])
+    if kind >= 32:
+        out += format(precision - 1, "04b") + signed_bits(shift, 5) + "".join(signed_bits(c, precision) for c in coefficients)
+    out += format(parameter_bits - 4, "02b") + format(partition_order, "04b")
+    residual = [x - (sum(c * samples[t - 1 - i] for i, c in enumerate(coefficients)) >> shift) for t, x in enumerate(samples) if t >= order]
+    each, at = len(samples) >> partition_order, 0
+    for part, (k, width) in enumerate(parameters):
+        n = each - (order if part == 0 else 0)
+        if k is None:
+            out += "1" * parameter_bits + format(width, "05b") + "".join(signed_bits(x, width) for x in residual[at : at + n])
+        else:
+            out += format(k, f"0{parameter_bits}b")
+            for x in residual[at : at + n]:
+                u = 2 * x if x >= 0 else -2 * x - 1
+                out += "0" * (u >> k) + "1" + (format(u & ((1 << k) - 1), f"0{k}b") if k else "")
+        at += n
+    return out
+
+
+FIXED_PREDICTORS = [(), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1)]
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24])
+def test_flac_decoder_on_hand_made_streams(bits):
+    r = random.Random(bits)
+    top = 1 << (bits - 1)
+
+    def wave(n):
+        return [max(-top, min(top - 1, int(top / 4 * np.sin(i / 9)) + r.randint(-3, 3))) for i in range(n)]
+
+    frames, samples = [], []
+
+    def add(own, subframe):
+        frames.append((len(own), subframe))
+        samples.extend(own)
+
+    for order, own in ((o, wave(64)) for o in range(5)):
+        add(own, plain_subframe(own, bits, 8 + order, order, FIXED_PREDICTORS[order], 0, 0, 4, 0, [(min(bits - 7, 14), 0)]))
+        add(own, plain_subframe(own, bits, 8 + order, order, FIXED_PREDICTORS[order], 0, 0, 5, 2, [(bits - 3, 0), (None, bits + 5), (bits - 5, 0), (None, bits + 4)]))
+    for order in (1, 2, 5, 12, 32):
+        own, coefficients = wave(128), [r.randint(-200, 200) for _ in range(order)]
+        add(own, plain_subframe(own, bits, 31 + order, order, coefficients, 9, 9, 5, 1, [(bits - 1, 0), (bits - 2, 0)]))
+    add([0] * 64, plain_subframe([0] * 64, bits, 8, 0, (), 0, 0, 4, 1, [(None, 0), (0, 0)]))
+    own = [x // 4 * 4 for x in wave(40)]
+    add(own, plain_subframe(own, bits, 9, 1, (1,), 0, 0, 5, 0, [(bits - 4, 0)], waste=2))
+    own = wave(17)
+    add(own, "0" + "000001" + "0" + "".join(signed_bits(x, bits) for x in own))
+    add([-top] * 33, "0" + "000000" + "0" + signed_bits(-top, bits))
+    stream = plain_flac(frames, bits, samples)
+    (got, blocks), (again, _) = media.decode_streams([stream, stream])
+    assert got.tolist() == samples and again.tolist() == samples
+    assert [n for _, n in blocks] == [n for n, _ in frames] and [a for a, _ in blocks] == [0, *np.cumsum([n for n, _ in frames]).tolist()[:-1]]
+
+
 def test_toxicity_and_quality(spark, docs, empty):
     r, rows, labels = random.Random(12), [], []
     for k in range(600):
