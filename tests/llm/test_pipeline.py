@@ -50,3 +50,12 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_a_repeated_id_keeps_the_smallest_row(spark, tmp_path):
+    rows = [(1, "b", "en"), (1, "a", "fr"), (1, "a", "en"), (2, None, "en"), (2, "x", "en"), (None, "n", "en"), (None, "n", "en")]
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame(part, "doc_id long, text string, lang string")
+        out = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", "en"), (2, None, "en"), (None, "n", "en"), (None, "n", "en")], key=str)
