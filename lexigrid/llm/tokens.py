@@ -3,7 +3,8 @@
 Byte-level BPE encodes each pre-token ("piece") by itself.  The chunk's pieces are found
 with vectorised character classes, told apart by 64-bit hashes, and only pieces that this
 worker has not met yet go through the library's model; a bounded cache keeps their ids.
-The ids equal ``Tokenizer.encode(text, add_special_tokens=False)``; tests compare them.
+The ids equal ``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens``
+set, so a special token spelled out in a text is plain text; tests compare them.
 """
 
 from __future__ import annotations
